@@ -28,9 +28,9 @@ VOCABULARY = "byte_bpe_50k.json"
 MEMO = 400_000
 UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space beyond ASCII (fixed values): such texts are cut by the full pattern at once.
-WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Outside these blocks letter and number classes depend on the Unicode version, so the library's own splitter is asked.
-VERSIONED = re.compile("[^\x00-՗ -⁰℀-↏　-鿿가-힣＀-￯]")
+VERSIONED = re.compile("[^\x00-\u0557\u2000-\u2070\u2100-\u218f\u3000-\u9fff\uac00-\ud7a3\uff00-\uffef]")
 
 
 def byte_letters() -> list[str]:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.llm import bpe, exact_dedup, token_counts
+from strandgraph.llm import bpe, exact_dedup, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality.op1_quality_rules,
         "op3_bpe": bpe.op3_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
@@ -18,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
