@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.llm import bpe, exact_dedup, quality, token_counts
+from strandgraph.llm import bpe, exact_dedup, mixing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op3_bpe": bpe.op3_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
