@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_counts
+from strandgraph.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": near_dedup.op2_minhash,
         "op3_bpe": bpe.op3_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
     }
