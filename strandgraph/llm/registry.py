@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.llm import bpe, exact_dedup, mixing, near_dedup, quality, token_counts, toxicity
+from strandgraph.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
+        "op8_pii": pii.op8_pii,
     }
 
 
