@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandgraph.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, token_counts, toxicity
+from strandgraph.llm import bpe, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.op6_mixing,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_pii": pii.op8_pii,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_lm_score": lm_score.op10_lm_score,
     }
 
