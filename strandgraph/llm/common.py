@@ -38,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that may be broadcast: checked by counting, never assumed.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a table of few narrow columns that ``cut`` has written, with a broadcast hint if it has at most ``most`` rows; else it is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def squeezed(text: Column) -> Column:
     """``text`` without white space; null counts as empty.  Byte-wise replacing beats a regular expression here."""
     out = F.coalesce(text, F.lit(""))

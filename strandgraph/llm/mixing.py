@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import SPACE_CLASS, cut, documents
+from strandgraph.llm.common import SPACE_CLASS, broadcast_if_small, cut, documents
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         )
         .withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     )
-    plan = cut(plan)
+    plan = broadcast_if_small(cut(plan))
     at = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     p = F.when(F.col("scale") > 0, F.col("rest") * root / F.col("scale")).otherwise(0.0)
     u = uniform(F.col("doc_id"), seed)
@@ -107,12 +107,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     first = F.least(F.floor(F.col("place") * bins), F.lit(bins - 1)).cast("int")
     second = F.least(F.floor((F.col("place") * bins - F.floor(F.col("place") * bins)) * bins), F.lit(bins - 1)).cast("int")
     coarse = _crossing(sampled.withColumn("bin", first), ["source"], F.lit(0).cast("long"), F.first("rest").alias("rest"))
+    coarse = broadcast_if_small(cut(coarse))
     inside = _within(sampled.withColumn("bin", first), coarse, ["source"])
     fine = _crossing(inside.withColumn("bin2", second), ["source"], F.col("start"), F.first("rest").alias("rest"), F.first("start").alias("start"), column="bin2")
     edge = coarse.select(F.col("source").alias("e"), F.col("bin").alias("edge_bin")).join(
         fine.select(F.col("source").alias("e2"), F.col("bin2").alias("edge_bin2"), F.col("start").alias("edge_start")), F.col("e").eqNullSafe(F.col("e2"))
     )
-    edge = cut(edge.select("e", "edge_bin", "edge_bin2", "edge_start"))
+    edge = broadcast_if_small(cut(edge.select("e", "edge_bin", "edge_bin2", "edge_start")))
     placed = at.withColumn("bin", first).withColumn("bin2", second).join(edge, F.col("source").eqNullSafe(F.col("e")), "left")
     low = (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & (F.col("bin2") < F.col("edge_bin2")))
     on_edge = (F.col("bin") == F.col("edge_bin")) & (F.col("bin2") == F.col("edge_bin2")) & (F.col("size") > 0)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import SPACE_CLASS, cut, documents, squeezed
+from strandgraph.llm.common import SPACE_CLASS, broadcast_if_small, cut, documents, squeezed
 
 SYMBOLS = "#*$%&|<>"
 #: A document fails ``short`` below so many words.
@@ -179,6 +179,7 @@ def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, keep: t
         measured = cut(measured)  # small rows: texts are measured once
     hosts = host_rates(measured)
     verdicts = hosts.select(F.col("_host").alias("_h"), F.col("host_rate"), (F.col("host_rate") > max_host_rate).alias("host_rejected"))
+    verdicts = broadcast_if_small(cut(verdicts))
     joined = measured.join(verdicts, F.col("_host").eqNullSafe(F.col("_h")), "left")
     q = F.col("_q")
     base = q["short"] | q["repetitive"]
