@@ -6,11 +6,13 @@ shingles choose, ``BRANCH`` of them at each node; similar sets choose the same
 paths with a probability that independent trees raise to the target recall.
 Nodes are compared level by level:
 
-1. Every set is compared with the smallest set of the node it shares most often,
-   a star, so that a group of copies costs as many comparisons as it has members.
+1. Every set is compared with the most central set of the node it shares most
+   often, a star, so that a group of copies costs as many comparisons as it has members.
 2. Nodes that still mix components and are small are compared exhaustively across
-   components; those that are large branch again, one shingle deeper.  What is
-   large at the last level is compared all the same, so no candidate is dropped.
+   components; those that are large branch again, one shingle deeper.
+3. What is large at the last level is a crowd of similar sets.  Crowds that
+   share members are compared once, exhaustively and in blocks of bounded size,
+   each of which returns a spanning forest of its links; no candidate is dropped.
 
 Every link is confirmed on full sets.  Components come from hooking and pointer
 jumping on tables; nothing of the size of the corpus reaches the driver.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import cut, documents, ensure_checkpoint_dir
+from strandgraph.llm.common import broadcast_if_small, cut, documents, ensure_checkpoint_dir
 from strandgraph.llm.shingles import U, linked, mix, shingle_sets
 
 PERCENT = 75
@@ -35,7 +37,9 @@ PERCENT = 75
 RECALL = 0.999999
 #: Children that a set chooses at each node, and how many levels there are.
 BRANCH = 2
-LEVELS = 5
+LEVELS = 3
+#: Sets of a block in which a large node of the last level is compared.
+BLOCK = 256
 #: A node is compared exhaustively if its members outside its largest component, times its members, are at most so many.
 SMALL = 4096
 #: Pairs that share fewer first-level nodes than this are left to deeper nodes.
@@ -81,42 +85,63 @@ def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     return read.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, pool binary")
 
 
-def _paths(pool: np.ndarray, level: int, branch: int) -> list[tuple[int, ...]]:
-    """Increasing positions of the shingles chosen on the way to a node of ``level``."""
-    paths: list[tuple[int, ...]] = [()]
-    for _ in range(level):
-        paths = [(*p, (p[-1] if p else -1) + k) for p in paths for k in range(1, branch + 1)]
-    return [p for p in paths if p[-1] < pool.shape[1]]
-
-
-def entries(sets: DataFrame, level: int, trees: int, depth: int, branch: int) -> DataFrame:
-    """(node, parent, rep): the nodes of ``level`` in which each set of (rep, pool) lies."""
-    paths = _paths(np.empty((trees, depth)), level, branch)
-    table = np.array(paths, dtype=np.int64)
+def entries(sets: DataFrame, trees: int, depth: int, branch: int) -> DataFrame:
+    """(node, rep, at): the first-level nodes of each set of (rep, pool); ``at`` is tree * depth + position of the chosen shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, trees + 1, dtype=U))
+        at = (np.arange(trees)[:, None] * depth + np.arange(branch)[None, :]).astype(np.int32)
         for b in batches:
             rep = np.asarray(b.column("rep"))
             pool = np.frombuffer(b"".join(b.column("pool").to_pylist()), U).reshape(len(rep), trees, depth)
-            node = np.broadcast_to(seeds[None, :, None], (len(rep), trees, len(paths))).copy()
-            parent, full = node, np.ones(node.shape, bool)
-            for k in range(level):
-                parent = node
-                chosen = pool[:, :, table[:, k]]
-                full &= chosen != ~U(0)
-                node = mix(node * U(31) + chosen)
-            out = [np.broadcast_to(rep[:, None, None], node.shape), node.view(np.int64), parent.view(np.int64)]
-            rep_out, node_out, parent_out = (x[full] for x in out)
-            for i in range(0, len(rep_out), 1 << 16):
-                cut_ = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(node_out[cut_]), pa.array(parent_out[cut_]), pa.array(rep_out[cut_])], ["node", "parent", "rep"])
+            chosen = pool[:, :, :branch]
+            node = mix(seeds[None, :, None] * U(31) + chosen).view(np.int64)
+            full = chosen != ~U(0)
+            out = [node, np.broadcast_to(rep[:, None, None], node.shape), np.broadcast_to(at[None], node.shape)]
+            yield from _slices([x[full] for x in out], ["node", "rep", "at"])
 
-    return sets.select("rep", "pool").mapInArrow(run, "node long, parent long, rep long")
+    return sets.select("rep", "pool").mapInArrow(run, "node long, rep long, at int")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets are linked.  Joined on b last, so that a star's centre comes in runs."""
+def branches(large: DataFrame, pools: DataFrame, depth: int, branch: int) -> DataFrame:
+    """Entries one level deeper: each member of a large node chooses its next ``branch`` shingles in the node's tree."""
+    of = large.groupBy("rep").agg(F.collect_list("node").alias("nodes"), F.collect_list("at").alias("ats"))  # one set's own paths
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, ats = b.column("nodes"), b.column("ats")
+            n = np.diff(np.asarray(nodes.offsets))
+            row = np.repeat(np.arange(len(n)), n)
+            parent, at = np.asarray(nodes.flatten()).view(U), np.asarray(ats.flatten())
+            pool = np.frombuffer(b"".join(b.column("pool").to_pylist()), U).reshape(len(n), -1)
+            rep = np.asarray(b.column("rep"))[row]
+            for k in range(1, branch + 1):
+                inside = at % depth + k < depth
+                chosen = pool[row[inside], at[inside] + k]
+                full = chosen != ~U(0)
+                node = mix(parent[inside] * U(31) + chosen).view(np.int64)
+                yield from _slices([node[full], rep[inside][full], (at[inside] + k)[full].astype(np.int32)], ["node", "rep", "at"])
+
+    return of.join(pools, "rep").select("rep", "nodes", "ats", "pool").mapInArrow(run, "node long, rep long, at int")
+
+
+def _slices(columns: list[np.ndarray], names: list[str], size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), size):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in columns], names)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), written already, those whose full shingle sets are linked.
+
+    Texts of sets in no pair aren't moved.  Joined on b last, so that a star's centre comes in runs.
+    """
+    size_of = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"))
+    sized = pairs.join(size_of("a"), "a").join(size_of("b"), "b")
+    sized = cut(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+    ids = broadcast_if_small(cut(sized.select(F.col("a").alias("rep")).union(sized.select("b")).distinct()))
+    path = f"{ensure_checkpoint_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
+    docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"]).write.parquet(path)  # compressed, unlike a checkpoint
+    texts = docs.sparkSession.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray] = (None, np.empty(0, U))
@@ -131,10 +156,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     out.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], pa.int64()), pa.array([b[i] for i in out], pa.int64())], ["a", "b"])
 
-    ta = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"), F.col("n").alias("na"))
-    tb = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"), F.col("n").alias("nb"))
-    sized = pairs.join(ta.select("a", "na"), "a").join(tb.select("b", "nb"), "b")
-    sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
     both = sized.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long")
 
@@ -160,12 +182,106 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sharing(found: DataFrame) -> DataFrame:
-    """Entries of nodes with two members at least, with the node's size and smallest member."""
+    """Entries of nodes with two members at least, with the node's size."""
     found = found.repartition("node")
-    sizes = found.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot")).where("members > 1")
+    sizes = found.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return found.join(sizes, "node")
 
 
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b): each set with one more central set.  The more members a set's nodes have together, the more central it is."""
+    centre = shared.groupBy("rep").agg(F.sum("members").alias("weight"))
+    weighed = shared.select("node", "rep").join(centre, "rep").withColumn("rank", F.struct("weight", "rep"))
+    pivots = weighed.groupBy("node").agg(F.max("rank").alias("pivot"))
+    hits = weighed.join(pivots, "node").where("rank <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("hits"))
+    best = hits.where(F.col("hits") >= HITS).groupBy("rep").agg(F.max(F.struct("hits", "pivot")).alias("best"))
+    return best.select(F.col("rep").alias("a"), F.col("best.pivot.rep").alias("b"))
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets; of ``left`` with ``right`` if there are both.  Intersections come from products of 0/1 matrices over the shingles that two sets share, so many at a time."""
+    sets = left + (right or [])
+    n, k = len(sets), len(left)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    column = np.cumsum(new) - 1
+    column = np.where(np.bincount(column)[column] > 1, column, -1)
+    row, column = row[column >= 0], column[column >= 0]
+    if not len(row):
+        return []
+    column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
+    a, b = (slice(0, n), slice(0, n)) if right is None else (slice(0, k), slice(k, n))
+    both = 0
+    for at in range(0, int(column[-1]) + 1, columns):
+        lo, hi = np.searchsorted(column, (at, at + columns))
+        m = np.zeros((n, columns), np.float32)
+        m[row[lo:hi], column[lo:hi] - at] = 1
+        both = both + m[a] @ m[b].T
+    both = np.rint(both).astype(np.int64)
+    union = sizes[a][:, None] + sizes[b][None, :] - both
+    x, y = np.nonzero((100 * both >= percent * union) & (both > 0))
+    parent = list(range(n))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(x.tolist(), (y + b.start).tolist(), strict=True):
+        u, v = top(i), top(j)
+        if u != v:
+            parent[v] = u
+            out.append((i, j))
+    return out
+
+
+def crowd_links(large: DataFrame, docs: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) in crowds: large nodes of the last level (node, rep), taken together where they share members."""
+    pivots = large.groupBy("node").agg(F.min("rep").alias("a"))
+    crowds = components(large.join(pivots, "node").select("a", F.col("rep").alias("b")))
+    crowds = cut(crowds.select(F.col("id").alias("rep"), F.col("label").alias("crowd")))
+    sizes = crowds.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = crowds.join(sizes, "crowd").withColumn("own", own)
+    # a set goes to its block's pair with every block, itself included
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("rep", "crowd", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    ids = broadcast_if_small(crowds.select("rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in shingle_sets(b.column("text").to_pylist())], pa.binary())], ["rep", "shingles"])
+
+    dealt = placed.join(texts.mapInArrow(sets, "rep long, shingles binary"), "rep").repartition("crowd", "p", "q").sortWithinPartitions("crowd", "p", "q", "own", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(at: tuple[int, int, int], held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            left = [(r, np.frombuffer(x, U)) for r, own, x in held if own == at[1]]
+            right = [(r, np.frombuffer(x, U)) for r, own, x in held if own != at[1]] if at[1] != at[2] else None
+            found = block_links([x for _, x in left], None if right is None else [x for _, x in right], percent) if right is None or (left and right) else []
+            reps = [r for r, _ in left + (right or [])]
+            return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in found], pa.int64()), pa.array([reps[j] for _, j in found], pa.int64())], ["a", "b"])
+
+        at, held = None, []
+        for b in batches:
+            for rep, crowd, own, p, q, x in zip(*(b.column(c).to_pylist() for c in ("rep", "crowd", "own", "p", "q", "shingles")), strict=True):
+                if (crowd, p, q) != at:
+                    if held:
+                        yield flush(at, held)
+                    at, held = (crowd, p, q), []
+                held.append((rep, own, x))
+        if held:
+            yield flush(at, held)
+
+    return dealt.select("rep", "crowd", "own", "p", "q", "shingles").mapInArrow(run, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, branch: int = BRANCH, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -181,47 +297,43 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL,
     reps = member_of.where("doc_id = rep").select("rep", "n").distinct()
     pools = sketched.select(F.col("doc_id").alias("rep"), "pool").join(reps, "rep", "left_semi").dropDuplicates(["rep"])
 
-    shared = cut(_sharing(entries(pools, 1, trees, depth, branch).select("node", "rep")))
+    shared = cut(_sharing(entries(pools, trees, depth, branch)))
     if shared.isEmpty():
         return _labelled(docs, sketched, member_of, None)
 
-    used = shared.select("rep").distinct()
-    path = f"{ensure_checkpoint_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(used, "rep", "left_semi").dropDuplicates(["rep"])
-    texts.join(reps, "rep").write.parquet(path)  # compressed, unlike a checkpoint
-    texts = docs.sparkSession.read.parquet(path)
-
-    hits = shared.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("hits"))
-    stars = hits.groupBy("rep").agg(F.max(F.struct("hits", (-F.col("pivot")).alias("p"))).alias("best"))
-    links = cut(confirm(stars.select(F.col("rep").alias("a"), (-F.col("best.p")).alias("b")), texts, percent))
+    stars = cut(_stars(shared))
+    links = cut(confirm(stars, docs, reps, percent))
     labels = components(links)
 
-    wide = shared.select("node", "rep")
+    wide = shared.select("node", "rep", "at")
     found: list[DataFrame] = []
     for level in range(1, levels + 1):
         mixed = cut(_mixed(wide, labels))
-        now = F.lit(level == levels) | (F.col("outside") * F.col("members") <= small)
+        now = F.col("outside") * F.col("members") <= small
         compare = mixed.where(now)
         minor = compare.where("label <> major").select("node", F.col("rep").alias("x"), F.col("label").alias("lx"), "major")
         other = compare.select("node", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("major").alias("my"))
         across = minor.join(other, "node").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("my")) | (F.col("x") < F.col("y"))))
         pairs = across.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
         found.append(pairs.where(F.col("hits") >= (HITS if level == 1 else 1)).select("a", "b"))
-        large = mixed.where(~now).select(F.col("node").alias("parent"), "rep")
-        if level == levels or large.isEmpty():
+        large = mixed.where(~now).select("node", "rep", "at")
+        if large.isEmpty():
+            large = None
             break
-        deeper = pools.join(large.select("rep").distinct(), "rep", "left_semi")
-        wide = entries(deeper, level + 1, trees, depth, branch).join(large.distinct(), ["parent", "rep"], "left_semi").select("node", "rep")
+        if level < levels:
+            wide = branches(large, pools, depth, branch)
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    more = confirm(cut(every.distinct()), texts, percent)
+    more = confirm(cut(every.distinct()), docs, reps, percent)
+    if large is not None:
+        more = more.union(crowd_links(large.select("node", "rep"), docs, percent))
     return _labelled(docs, sketched, member_of, components(cut(links.union(more))))
 
 
 def _mixed(wide: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of nodes that hold two components at least: with the node's largest one and how many members are outside it."""
-    named = wide.join(labels, wide["rep"] == labels["id"], "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
+    named = wide.join(labels, wide["rep"] == labels["id"], "left").select("node", "rep", "at", F.coalesce("label", "rep").alias("label"))
     parts = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     nodes = parts.groupBy("node").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"))
     nodes = nodes.select("node", "members", F.col("top.label").alias("major"), (F.col("members") - F.col("top.n")).alias("outside")).where("outside > 0")
