@@ -153,16 +153,12 @@ def host_rates(measured: DataFrame) -> DataFrame:
         *(F.count_if(F.col(f"_q.{r}")).alias(f"fail_{r}") for r in RULES),
         F.count_if(failed).alias("n_failed"),
     )
+    hosts = cut(hosts)
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("v"))
-    size = F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))
-    informed = (F.col("v") > 0) & (F.col("m") > 0) & (F.col("m") < 1) & (size > 0)
-    prior = prior.select(
-        F.when(informed, F.col("m") * size).otherwise(F.lit(1.0)).alias("alpha"),
-        F.when(informed, (1 - F.col("m")) * size).otherwise(F.lit(1.0)).alias("beta"),
-    )
-    shrunk = (F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("alpha") + F.col("beta"))
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", shrunk).drop("alpha", "beta")  # the prior is one row
+    mean, spread = hosts.agg(F.avg(rate), F.coalesce(F.var_samp(rate), F.lit(0.0))).first()  # one row
+    size = max(mean * (1 - mean) / spread - 1, 0.0) if spread and 0 < mean < 1 else 0.0
+    alpha, beta = (mean * size, (1 - mean) * size) if size > 0 else (1.0, 1.0)
+    return hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha) + F.lit(beta)))
 
 
 def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, keep: tuple[str, ...] = ()) -> DataFrame:
