@@ -16,11 +16,12 @@ from strandgraph.functions.degrees import out_degrees
 from strandgraph.graph import Graph
 
 
-def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: float = 0.15, tol: float = 1e-3, freeze: str = "hold", max_rounds: int | None = None, rounds_per_cut: int = 3) -> DataFrame:
+def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: float = 0.15, tol: float = 1e-3, freeze: str = "hold", max_rounds: int | None = None, rounds_per_cut: int = 3, sizes: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(id, rank, active).  ``init``: a number, or '1/V'.  Parallel edges count as often as they are.
 
     Each round all sums come from the ranks before it.  Contributions are summed
-    by target before they are shuffled; edges carry their source's degree.
+    by target before they are shuffled; edges carry their source's degree.  A
+    list in ``sizes`` gets (iteration, active vertices, of these frozen in it) of each round, at an action a round.
     """
     if freeze not in ("hold", "commit"):
         raise ValueError("freeze is 'hold' or 'commit'")
@@ -28,9 +29,9 @@ def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: flo
     edges = cut(g.edges.select("src", "dst").join(degrees, "src").repartition("src"))
     start = F.lit(1.0) / F.lit(float(max(g.vertices.count(), 1))) if init == "1/V" else F.lit(float(init))
     state = cut(g.vertices.repartition("id").select("id", start.alias("rank"), F.lit(True).alias("active")))
-    done = 0
+    done, left = 0, None
     while (max_rounds is None or done < max_rounds) and not state.where("active").isEmpty():
-        steps = rounds_per_cut if max_rounds is None else min(rounds_per_cut, max_rounds - done)
+        steps = 1 if sizes is not None else rounds_per_cut if max_rounds is None else min(rounds_per_cut, max_rounds - done)
         now = state
         for _ in range(steps):
             sent = edges.join(now.select(F.col("id").alias("src"), "rank"), "src").select(F.col("dst").alias("id"), (F.col("rank") / F.col("od")).alias("c"))
@@ -45,4 +46,8 @@ def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: flo
                 value = F.when(F.col("active"), F.col("new")).otherwise(F.col("rank"))
             now = step.select("id", value.alias("rank"), on.alias("active"))
         state, done = cut(now), done + steps
+        if sizes is not None:
+            before = state.count() if left is None else left
+            left = state.where("active").count()
+            sizes.append((done - 1, before, before - left))
     return state

@@ -142,6 +142,12 @@ def _ranks(**options) -> Query:
     return query
 
 
+def _rank_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes: list[tuple[int, int, int]] = []
+    pagerank(supplier_part(spark, sf_dir), max_rounds=ROUNDS, sizes=sizes)
+    return spark.createDataFrame(sizes, "iteration int, active_vertices long, newly_frozen long")
+
+
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges as they are read back from a weighted CSR file in the driver's temporary folder."""
     path = os.path.join(tempfile.mkdtemp(prefix="csr-"), "graph.csr")
@@ -177,6 +183,7 @@ def queries() -> dict[str, Query]:
         "pagerank_hold_k": _ranks(max_rounds=ROUNDS),
         "pagerank_commit_k": _ranks(max_rounds=ROUNDS, init="1/V", freeze="commit"),
         "pagerank_host_k": _ranks(max_rounds=ROUNDS, init="1/V", freeze="commit", damping=0.15),
+        "pagerank_frontier_sizes": _rank_sizes,
         "pagerank_hold": _ranks(),
         "pagerank_commit": _ranks(init="1/V", freeze="commit"),
         "out_degree": lambda s, d: dg.out_degrees(_sp(s, d)),
@@ -250,7 +257,7 @@ _DISTANCES = _reach(_SP, "x.x + u.weight")
 _LABELS = _reach(_CP, "x.x", "SELECT id, id FROM v")
 
 
-def _rank_sql(init: str, damping: float, commit: bool) -> str:
+def _rank_sql(init: str, damping: float, commit: bool, result: str = f"SELECT id, round(rank, 4) AS rank FROM r{ROUNDS}") -> str:
     steps = [f"r0 AS MATERIALIZED (SELECT id, CAST({init} AS DOUBLE) AS rank, true AS active FROM v)"]
     for i in range(1, ROUNDS + 1):
         p = f"r{i - 1}"
@@ -258,7 +265,7 @@ def _rank_sql(init: str, damping: float, commit: bool) -> str:
         value = "CASE WHEN p.active THEN n.new ELSE p.rank END" if commit else f"CASE WHEN {on} THEN n.new ELSE p.rank END"
         steps.append(f"""r{i} AS MATERIALIZED (SELECT p.id, {value} AS rank, {on} AS active FROM {p} AS p JOIN (
   SELECT v.id, 0.15::DOUBLE + {damping}::DOUBLE * coalesce(sum(q.rank / d.deg), 0) AS new FROM v LEFT JOIN u ON u.dst = v.id LEFT JOIN {p} AS q ON q.id = u.src LEFT JOIN d ON d.id = u.src GROUP BY v.id) AS n ON n.id = p.id)""")
-    return f"WITH {_SP}{_SYM}{_DEG},\n" + ",\n".join(steps) + f"\nSELECT id, round(rank, 4) AS rank FROM r{ROUNDS}"
+    return f"WITH {_SP}{_SYM}{_DEG},\n" + ",\n".join(steps) + f"\n{result}"
 
 
 _ROUNDS = """,
@@ -300,6 +307,7 @@ SELECT id, x AS label FROM x""",
         "pagerank_hold_k": _rank_sql("1", 0.85, False),
         "pagerank_commit_k": _rank_sql("1.0::DOUBLE / (SELECT count(*) FROM v)", 0.85, True),
         "pagerank_host_k": _rank_sql("1.0::DOUBLE / (SELECT count(*) FROM v)", 0.15, True),
+        "pagerank_frontier_sizes": _rank_sql("1", 0.85, False, " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS iteration, (SELECT count(*) FILTER (active) FROM r{i}) AS active_vertices, (SELECT count(*) FILTER (active) FROM r{i}) - (SELECT count(*) FILTER (active) FROM r{i + 1}) AS newly_frozen" for i in range(ROUNDS))),
         "out_degree": f"{degree} SELECT id, deg AS out_degree FROM d",
         "in_degree": f"WITH {_UT} SELECT v.id, count(u.dst) AS in_degree FROM v LEFT JOIN u ON u.dst = v.id GROUP BY v.id",
         "csr_degree": f"{dense} SELECT id, deg AS degree FROM c",
