@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of jobs that nothing refers to any more.
+
+    Its cleaner acts on the driver's garbage collections, which a loop of many
+    small jobs on an almost empty heap may not cause for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a table that may be broadcast: checked by counting, never assumed.
 BROADCAST_ROWS = 200_000
 

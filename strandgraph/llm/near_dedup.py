@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import broadcast_if_small, cut, documents, ensure_checkpoint_dir
+from strandgraph.llm.common import broadcast_if_small, cut, documents, ensure_checkpoint_dir, release
 from strandgraph.llm.shingles import U, linked, mix, shingle_sets
 
 PERCENT = 75
@@ -164,21 +164,23 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each component of the graph of ``edges`` (a, b), for ids that have an edge.
 
-    Each round every vertex takes the smallest label around it, then labels jump to their labels' labels;
+    Each round a vertex whose label has changed sends it to its neighbours, then labels jump to their labels' labels;
     the rounds grow with the logarithm of the longest path.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     both = cut(both)
-    state = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
+    state = both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    state = cut(state.withColumn("fresh", F.col("label") != F.col("id")))
     while True:
-        seen = both.join(state, both["b"] == state["id"]).groupBy("a").agg(F.min("label").alias("near"))
+        sent = state.where("fresh").select(F.col("id").alias("from"), "label")
+        seen = both.join(sent, F.col("b") == F.col("from")).groupBy("a").agg(F.min("label").alias("near"))
         hooked = state.join(seen, state["id"] == seen["a"], "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         up = state.select(F.col("id").alias("p"), F.col("label").alias("top"))
         moved = hooked.join(up, F.col("low") == F.col("p"), "left").select("id", F.least("low", F.coalesce("top", "low")).alias("new"), "label")
-        moved = cut(moved)
-        if moved.where("new <> label").isEmpty():
-            return moved.select("id", "label")
-        state = moved.select("id", F.col("new").alias("label"))
+        state = cut(moved.select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("fresh")))
+        release(state.sparkSession)
+        if state.where("fresh").isEmpty():
+            return state.select("id", "label")
 
 
 def _sharing(found: DataFrame) -> DataFrame:
@@ -302,6 +304,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL,
         return _labelled(docs, sketched, member_of, None)
 
     stars = cut(_stars(shared))
+    release(docs.sparkSession)
     links = cut(confirm(stars, docs, reps, percent))
     labels = components(links)
 
@@ -309,6 +312,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL,
     found: list[DataFrame] = []
     for level in range(1, levels + 1):
         mixed = cut(_mixed(wide, labels))
+        release(docs.sparkSession)
         now = F.col("outside") * F.col("members") <= small
         compare = mixed.where(now)
         minor = compare.where("label <> major").select("node", F.col("rep").alias("x"), F.col("label").alias("lx"), "major")
