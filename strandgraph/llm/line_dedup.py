@@ -7,21 +7,27 @@ enough places, and places that differ become variable; else it is a new template
 A template that occurs in more than one document is recurring: its first line
 stays and all others are dropped.
 
-Lines are made distinct by partial aggregation before any leaf is gathered, so
-copies don't count there; a leaf with more distinct lines than ``LEAF`` is split
-by its lines' next tokens.
+Texts become hashes of lines and leaves in numpy; what is shuffled is a few numbers
+a line.  Tokens, 16 bits each, are gathered only of leaves with several
+distinct lines: a bit set of fixed size, whatever the corpus, tells which those may
+be.  A leaf with more distinct lines than ``LEAF`` is split by its lines' next tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import SPACE_CLASS, cut, documents
+from strandgraph.llm import shingles as sh
+from strandgraph.llm.common import broadcast_if_small, cut, documents
+from strandgraph.llm.lm_score import grouped, spans
 
+U = np.uint64
 #: Leading tokens that a path has; lines with fewer tokens than MIN_TOKENS are left alone.
 LEADING = 3
 MIN_TOKENS = 5
@@ -29,45 +35,140 @@ MIN_TOKENS = 5
 SIMILARITY = 0.75
 #: Distinct lines of a leaf that are parsed together.
 LEAF = 2000
-FIELD = "<*>"
-
-
-def _has_word(line: Column) -> Column:
-    return F.rlike(line, F.lit(f"[^{SPACE_CLASS}]"))
-
-
-def masked(line: Column) -> Column:
-    """The line with single blanks and each word with a digit replaced."""
-    blank = F.trim(F.regexp_replace(line, f"[{SPACE_CLASS}]+", " "))
-    return F.when(F.rlike(blank, F.lit("[0-9]")), F.regexp_replace(blank, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(blank)
+#: Bits of the set of leaves with several lines.  If it fills up, more lines are gathered and nothing is lost.
+BITS = 1 << 26
+FIELD = 1 << 16
+
+_value = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.int64).astype(U) | U(1)
+STEP = 0xD1342543DE82EF95
+_step = np.full(1 << 12, U(STEP), U)
+_step[0] = 1
+_step = np.cumprod(_step, dtype=U)
+
+
+def _places(n: int) -> np.ndarray:
+    """Odd multipliers by place in a line."""
+    global _step
+    while len(_step) < n:
+        _step = np.concatenate([_step, _step * U(int(_step[-1]) * STEP % (1 << 64))])
+    return _step
+
+
+class Lines:
+    """The lines with a word of a group of texts: text, number, token count, hash, leaf, next tokens' hash, and tokens."""
+
+    def __init__(self, texts: list[bytes]):
+        data, s, e, text = spans(texts)
+        if not len(s):
+            self.text = self.no = self.n = self.first = np.empty(0, np.int64)
+            self.hash = self.leaf = self.following = self.tokens = np.empty(0, U)
+            return
+        up, down = sh._power(len(data) + 1)
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum(_value[data] * up[: len(data)], out=sums[1:])
+        tokens = sh.mix((sums[e] - sums[s]) * down[s])
+        count = lambda hit: np.concatenate([[0], np.cumsum(hit)])
+        digits = count((data >= 48) & (data <= 57))
+        tokens[digits[e] > digits[s]] = U(FIELD)
+        newlines = count(data == 10)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        no = newlines[s] - newlines[(np.cumsum(sizes) - sizes)[text]]
+        new = np.concatenate(([True], (no[1:] != no[:-1]) | (text[1:] != text[:-1])))
+        self.first = np.flatnonzero(new)
+        self.n = np.diff(np.append(self.first, len(s)))
+        self.text, self.no, self.tokens = text[self.first], no[self.first], tokens
+        place = np.arange(len(s)) - np.repeat(self.first, self.n)
+        self.hash = sh.mix(np.add.reduceat(tokens * _places(int(self.n.max()))[place], self.first) + self.n.astype(U))
+        self.leaf = sh.mix(self._some(0, LEADING) + self.n.astype(U) * U(sh.BASE))
+        self.following = sh.mix(self._some(LEADING, LEADING + 2))
+
+    def _some(self, a: int, b: int) -> np.ndarray:
+        out = np.zeros(len(self.first), U)
+        for k in range(a, b):
+            at = np.minimum(self.first + k, len(self.tokens) - 1)
+            out += np.where(self.n > k, self.tokens[at] * sh.PLACES[k % 5], U(0))
+        return out
+
+    def token_bytes(self, i: int) -> bytes:
+        """16 bits a token; 0 is a variable field."""
+        t = self.tokens[self.first[i] : self.first[i] + self.n[i]]
+        return np.where(t == U(FIELD), 0, np.maximum(t >> U(48), 1)).astype(np.uint16).tobytes()
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no, leaf, line_hash, n_lines): a row for each line of ``MIN_TOKENS`` tokens at least, and one with line_no -1 for each row of ``docs``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text_hash", "line_no", "leaf", "line_hash", "n_lines"]
+        for b in batches:
+            ids = b.column("doc_id")
+            for at, texts in grouped(b.column("text").to_pylist()):
+                x, own = Lines(texts), ids.slice(at, len(texts))
+                hashes = np.array([xxhash.xxh64_intdigest(t) for t in texts], U)
+                zero = np.zeros(len(texts), np.int64)
+                n_lines = np.bincount(x.text, minlength=len(texts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([own, _signed(hashes), pa.array(zero - 1), pa.array(zero), pa.array(zero), pa.array(n_lines)], names)
+                some = np.flatnonzero(x.n >= MIN_TOKENS)
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(x.text[some])), _signed(hashes[x.text[some]]), pa.array(x.no[some].astype(np.int64)), _signed(x.leaf[some]), _signed(x.hash[some]), pa.array(np.zeros(len(some), np.int64))], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_hash long, line_no long, leaf long, line_hash long, n_lines long")
+
+
+def leaf_bits(leaves: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bit set of (leaf): ``bits / 8`` bytes.  Words are put together by aggregation; the driver gets at most ``bits / 64`` of them."""
+    place = F.pmod(F.col("leaf"), F.lit(bits))
+    words = leaves.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(leaf, {bits}), 64) AS INT))")).alias("b")).toArrow()
+    out = np.zeros(max(bits // 64, 1), np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, line number, masked line, its hash and its leaf, for lines of ``MIN_TOKENS`` tokens at least."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
-    each = each.where(_has_word(F.col("raw"))).select("doc_id", "text_hash", "line_no", masked(F.col("raw")).alias("line"))
-    n = F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    each = each.withColumn("n", n).where(F.col("n") >= MIN_TOKENS)
-    leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING))
-    return each.select("doc_id", "text_hash", "line_no", "line", F.xxhash64("line").alias("line_hash"), leaf.alias("leaf"))
 
+def gather(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(leaf, line_hash, following, tokens, copies) of distinct lines in leaves whose bit is set."""
+    held, size = docs.sparkSession.sparkContext.broadcast(bits), len(bits) * 64
 
-def parse(rows: list[tuple[int, str]], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """(line, template) hashes of one leaf's distinct lines, in the order given; a template has its first line's hash."""
-    templates: list[tuple[int, list[str]]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        for b in batches:
+            for _, texts in grouped(b.column("text").to_pylist()):
+                x = Lines(texts)
+                place = np.mod(x.leaf.view(np.int64), size)
+                some = np.flatnonzero((x.n >= MIN_TOKENS) & ((words[place >> 6] >> (place & 63)) & 1 == 1))
+                _, one, copies = np.unique(x.hash[some], return_index=True, return_counts=True)
+                some = some[one]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(x.leaf[some]), _signed(x.hash[some]), _signed(x.following[some]), pa.array([x.token_bytes(i) for i in some], pa.binary()), pa.array(copies.astype(np.int64))],
+                    ["leaf", "line_hash", "following", "tokens", "copies"],
+                )
+
+    found = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "leaf long, line_hash long, following long, tokens binary, copies long")
+    return found.groupBy("leaf", "line_hash").agg(F.first("following").alias("following"), F.first("tokens").alias("tokens"), F.sum("copies").alias("copies"))
+
+
+def parse(rows: list[tuple[int, np.ndarray]], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """(line, template) hashes of one leaf's distinct lines, in the order given; a template has its first line's hash.  0 is a variable field."""
+    names: list[int] = []
+    table = np.empty((4, len(rows[0][1]) if rows else 0), np.uint16)
     out = []
-    for key, line in rows:
-        tokens = line.split(" ")
-        need = similarity * len(tokens)
-        for name, t in templates:
-            if len(t) == len(tokens) and sum(map(str.__eq__, t, tokens)) >= need:
-                t[:] = [a if a == b else FIELD for a, b in zip(t, tokens, strict=True)]
-                out.append((key, name))
-                break
-        else:
-            templates.append((key, tokens))
-            out.append((key, key))
+    for key, tokens in rows:
+        # the leaf has one token count; were two to share a hash, they would be parsed apart
+        fits = len(tokens) == table.shape[1] and len(names) and (table[: len(names)] == tokens).sum(axis=1) >= similarity * len(tokens)
+        hit = np.flatnonzero(fits)
+        if len(hit):
+            t = table[hit[0]]
+            t[t != tokens] = 0
+            out.append((key, names[hit[0]]))
+            continue
+        out.append((key, key))
+        if len(tokens) == table.shape[1]:
+            if len(names) == len(table):
+                table = np.concatenate([table, np.empty_like(table)])
+            table[len(names)] = tokens
+            names.append(key)
     return out
 
 
@@ -75,49 +176,42 @@ def templates(distinct: DataFrame, similarity: float = SIMILARITY, leaf_size: in
     """(leaf, line_hash, template) for lines of leaves with several distinct lines whose template isn't their own."""
     sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     some = distinct.join(sizes, "leaf")
-    following = F.substring_index(F.substring_index("line", " ", LEADING + 2), " ", -2)
-    part = F.when(F.col("size") > leaf_size, F.pmod(F.xxhash64(following), F.ceil(2 * F.col("size") / leaf_size))).otherwise(0).cast("long")
-    dealt = some.withColumn("part", part).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("copies"), "line")
+    part = F.when(F.col("size") > leaf_size, F.pmod(F.col("following"), F.ceil(2 * F.col("size") / leaf_size))).otherwise(0).cast("long")
+    dealt = some.withColumn("part", part).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("copies"), "line_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = ["leaf", "line_hash", "template"]
-
-        def flush(at: tuple[int, int], rows: list[tuple[int, str]]) -> pa.RecordBatch:
-            moved = [(k, t) for k, t in parse(rows, similarity) if k != t] if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(moved), pa.int64()), pa.array([k for k, _ in moved], pa.int64()), pa.array([t for _, t in moved], pa.int64())], schema)
+        def flush(leaf: int, rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            moved = [(k, t) for k, t in parse(rows, similarity) if k != t]
+            return pa.RecordBatch.from_arrays([pa.array([leaf] * len(moved), pa.int64()), pa.array([k for k, _ in moved], pa.int64()), pa.array([t for _, t in moved], pa.int64())], ["leaf", "line_hash", "template"])
 
         at: tuple[int, int] | None = None
-        rows: list[tuple[int, str]] = []
+        rows: list[tuple[int, np.ndarray]] = []
         for b in batches:
-            for leaf, part_, key, line in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line_hash", "line")), strict=True):
+            for leaf, part_, key, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line_hash", "tokens")), strict=True):
                 if (leaf, part_) != at:
-                    if len(rows) > 1:
-                        yield flush(at, rows)
+                    if at is not None and len(rows) > 1:
+                        yield flush(at[0], rows)
                     at, rows = (leaf, part_), []
-                rows.append((key, line))
-        if len(rows) > 1:
-            yield flush(at, rows)
-
-    return dealt.select("leaf", "part", "line_hash", "line").mapInArrow(run, "leaf long, line_hash long, template long")
-
-
-def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:
-    """(doc_id, text_hash, line_no) of lines that go."""
-    every = lines(docs)
-    where = F.struct("doc_id", "text_hash", "line_no")
-    distinct = every.where("doc_id IS NOT NULL").groupBy("leaf", "line_hash", "line").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("line_no").alias("no"))
-    distinct = distinct.withColumn("line", F.col("line"))
-    moved = cut(templates(distinct.select("leaf", "line_hash", "line", "copies"), similarity, leaf_size))
-    small = distinct.select("leaf", "line_hash", "lo", "hi")
-    named = small.join(moved, ["leaf", "line_hash"], "left").withColumn("template", F.coalesce("template", "line_hash"))
-    named = cut(named)
+                rows.append((key, np.frombuffer(tokens, np.uint16)))
+        if at is not None and len(rows) > 1:
+            yield flush(at[0], rows)
+
+    return dealt.select("leaf", "part", "line_hash", "tokens").mapInArrow(run, "leaf long, line_hash long, template long")
+
+
+def dropped_lines(docs: DataFrame, scanned: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:
+    """(doc_id, text_hash, line_no) of lines that go; ``scanned`` is what ``scan`` gives, written."""
+    every = scanned.where("line_no >= 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", "line_no", "leaf", "line_hash")
+    where = F.struct("doc_id", "line_no", "text_hash")
+    distinct = cut(every.groupBy("leaf", "line_hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    moved = cut(templates(gather(docs, leaf_bits(several)), similarity, leaf_size))
+    named = distinct.join(moved, ["leaf", "line_hash"], "left").withColumn("template", F.coalesce("template", "line_hash"))
     again = named.groupBy("leaf", "template").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last_doc")).where("first_doc <> last_doc")
-    recurring = named.join(again, ["leaf", "template"]).select("leaf", "line_hash", "template", "first_doc")
-    hits = every.drop("line").where("doc_id IS NOT NULL").join(recurring, ["leaf", "line_hash"])
-    hits = cut(hits)
+    recurring = cut(named.join(again, ["leaf", "template"]).select("leaf", "line_hash", "template", "first_doc"))
+    hits = cut(every.join(broadcast_if_small(recurring), ["leaf", "line_hash"]))
     stay = hits.where("doc_id = first_doc").groupBy("leaf", "template").agg(F.min(where).alias("stay"))
-    gone = hits.join(stay, ["leaf", "template"]).where(where != F.col("stay"))
-    return gone.select("doc_id", "text_hash", "line_no")
+    return hits.join(stay, ["leaf", "template"]).where(where != F.col("stay")).select("doc_id", "text_hash", "line_no").distinct()
 
 
 def line_verdicts(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:
@@ -127,21 +221,20 @@ def line_verdicts(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: in
     document to the tree (rows that repeat its text too share one verdict);
     rows without doc_id are left alone; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(F.filter(F.split(text, "\n"), _has_word)).cast("long").alias("n_lines"))
-    gone = dropped_lines(docs, similarity, leaf_size).dropDuplicates().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line_no")).alias("nos"))  # a document's own lines
-    joined = rows.join(gone, ["doc_id", "text_hash"], "left")
-    nos = F.coalesce("nos", F.expr("CAST(array() AS ARRAY<INT>)"))
+    scanned = cut(scan(docs))
+    gone = dropped_lines(docs, scanned, similarity, leaf_size).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line_no")).alias("nos"))  # a document's own lines
+    joined = scanned.where("line_no < 0").select("doc_id", "text_hash", "n_lines").join(gone, ["doc_id", "text_hash"], "left")
+    nos = F.coalesce("nos", F.expr("CAST(array() AS ARRAY<BIGINT>)"))
     return joined.select("doc_id", "n_lines", F.size(nos).cast("long").alias("n_dropped"), F.array_join(nos, ",").alias("dropped"))
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; other columns stay as they are."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    gone = dropped_lines(docs, similarity, leaf_size).dropDuplicates().groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("nos"))
-    joined = whole.join(gone, ["doc_id", "text_hash"], "left")
-    kept = F.filter(F.split(F.col("row.text"), "\n"), lambda _, i: ~F.array_contains("nos", i))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    gone = dropped_lines(docs, cut(scan(docs)), similarity, leaf_size).groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"), F.count_distinct("text_hash").alias("texts"))
+    # an id with several texts keeps them as they are: its lines can't be told apart by number
+    joined = whole.join(gone.where("texts = 1"), F.col("id") == F.col("doc_id"), "left")
+    kept = F.filter(F.split(F.col("row.text"), "\n"), lambda _, i: ~F.array_contains("nos", i.cast("long")))
     cleaned = F.when(F.col("nos").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*(cleaned.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 

@@ -1,3 +1,5 @@
+import numpy as np
+
 from strandgraph.llm import line_dedup
 
 LINE = "this notice was printed on page {} of the weekly report for readers"
@@ -20,8 +22,20 @@ def test_recurring_templates_go(docs_of):
 
 
 def test_parse_generalises():
-    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g x"), (3, "a b c q r s t u"), (4, "a b c d e z y x")]
-    assert line_dedup.parse(rows) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g x"), (3, "a b c q r s t u"), (4, "a b c d e z y x"), (5, "a b c d e f")]
+    coded = [(k, np.array([ord(c) for c in line.split()], np.uint16)) for k, line in rows]
+    assert line_dedup.parse(coded) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+
+
+def test_lines_of_texts():
+    texts = [b"one two three four five\n\n six 7 eight nine ten\n", b"", b"\n", b"one two three four five\none two three four 5a five"]
+    x = line_dedup.Lines(texts)
+    assert list(zip(x.text.tolist(), x.no.tolist(), x.n.tolist(), strict=True)) == [(0, 0, 5), (0, 2, 5), (3, 0, 5), (3, 1, 6)]
+    assert x.hash[0] == x.hash[2] != x.hash[1] and x.leaf[0] == x.leaf[2] != x.leaf[3]
+    y = line_dedup.Lines([b"six 99 eight nine ten", b"Six 7 eight nine ten"])
+    assert y.hash[0] == x.hash[1] != y.hash[1]
+    assert np.frombuffer(x.token_bytes(1), np.uint16)[1] == 0
+    assert len(line_dedup.Lines([b"", b" "]).n) == 0
 
 
 def test_split_leaves_still_find_copies(docs_of):
