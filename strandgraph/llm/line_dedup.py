@@ -10,11 +10,15 @@ stays and all others are dropped.
 Texts become hashes of lines and leaves in numpy; what is shuffled is a few numbers
 a line.  Tokens, 16 bits each, are gathered only of leaves with several
 distinct lines: a bit set of fixed size, whatever the corpus, tells which those may
-be.  A leaf with more distinct lines than ``LEAF`` is split by its lines' next tokens.
+be.  A leaf is parsed as a stream that holds only its templates; once there are more
+than ``LEAF`` of them, an index names the few that can agree with a line, with the
+same result as a comparison with all.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,7 @@ LEADING = 3
 MIN_TOKENS = 5
 #: Share of places in which a line has to agree with a template.
 SIMILARITY = 0.75
-#: Distinct lines of a leaf that are parsed together.
+#: Templates of a leaf that a line is compared with one and all; more are looked up in an index.
 LEAF = 2000
 #: Bits of the set of leaves with several lines.  If it fills up, more lines are gathered and nothing is lost.
 BITS = 1 << 26
@@ -55,13 +59,13 @@ def _places(n: int) -> np.ndarray:
 
 
 class Lines:
-    """The lines with a word of a group of texts: text, number, token count, hash, leaf, next tokens' hash, and tokens."""
+    """The lines with a word of a group of texts: text, number, token count, hash, leaf, and tokens."""
 
     def __init__(self, texts: list[bytes]):
         data, s, e, text = spans(texts)
         if not len(s):
             self.text = self.no = self.n = self.first = np.empty(0, np.int64)
-            self.hash = self.leaf = self.following = self.tokens = np.empty(0, U)
+            self.hash = self.leaf = self.tokens = np.empty(0, U)
             return
         up, down = sh._power(len(data) + 1)
         sums = np.zeros(len(data) + 1, U)
@@ -79,15 +83,11 @@ class Lines:
         self.text, self.no, self.tokens = text[self.first], no[self.first], tokens
         place = np.arange(len(s)) - np.repeat(self.first, self.n)
         self.hash = sh.mix(np.add.reduceat(tokens * _places(int(self.n.max()))[place], self.first) + self.n.astype(U))
-        self.leaf = sh.mix(self._some(0, LEADING) + self.n.astype(U) * U(sh.BASE))
-        self.following = sh.mix(self._some(LEADING, LEADING + 2))
-
-    def _some(self, a: int, b: int) -> np.ndarray:
-        out = np.zeros(len(self.first), U)
-        for k in range(a, b):
+        leading = np.zeros(len(self.first), U)
+        for k in range(LEADING):
             at = np.minimum(self.first + k, len(self.tokens) - 1)
-            out += np.where(self.n > k, self.tokens[at] * sh.PLACES[k % 5], U(0))
-        return out
+            leading += np.where(self.n > k, self.tokens[at] * sh.PLACES[k], U(0))
+        self.leaf = sh.mix(leading + self.n.astype(U) * U(sh.BASE))
 
     def token_bytes(self, i: int) -> bytes:
         """16 bits a token; 0 is a variable field."""
@@ -128,7 +128,7 @@ def leaf_bits(leaves: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def gather(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(leaf, line_hash, following, tokens, copies) of distinct lines in leaves whose bit is set."""
+    """(leaf, line_hash, tokens, copies) of distinct lines in leaves whose bit is set."""
     held, size = docs.sparkSession.sparkContext.broadcast(bits), len(bits) * 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,62 +141,93 @@ def gather(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 _, one, copies = np.unique(x.hash[some], return_index=True, return_counts=True)
                 some = some[one]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(x.leaf[some]), _signed(x.hash[some]), _signed(x.following[some]), pa.array([x.token_bytes(i) for i in some], pa.binary()), pa.array(copies.astype(np.int64))],
-                    ["leaf", "line_hash", "following", "tokens", "copies"],
+                    [_signed(x.leaf[some]), _signed(x.hash[some]), pa.array([x.token_bytes(i) for i in some], pa.binary()), pa.array(copies.astype(np.int64))],
+                    ["leaf", "line_hash", "tokens", "copies"],
                 )
 
-    found = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "leaf long, line_hash long, following long, tokens binary, copies long")
-    return found.groupBy("leaf", "line_hash").agg(F.first("following").alias("following"), F.first("tokens").alias("tokens"), F.sum("copies").alias("copies"))
-
-
-def parse(rows: list[tuple[int, np.ndarray]], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """(line, template) hashes of one leaf's distinct lines, in the order given; a template has its first line's hash.  0 is a variable field."""
-    names: list[int] = []
-    table = np.empty((4, len(rows[0][1]) if rows else 0), np.uint16)
-    out = []
-    for key, tokens in rows:
+    found = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "leaf long, line_hash long, tokens binary, copies long")
+    return found.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"), F.sum("copies").alias("copies"))
+
+
+class Parser:
+    """Templates of one leaf, whose lines come one by one; a template has its first line's hash.  0 is a variable field."""
+
+    def __init__(self, n: int, similarity: float = SIMILARITY, leaf_size: int = LEAF):
+        self.n, self.least, self.leaf_size = n, similarity * n, leaf_size
+        self.names: list[int] = []
+        self.table = np.empty((4, n), np.uint16)
+        # a line that agrees with a template differs from it in ``parts - 1`` places at most, so one of ``parts`` parts is the same
+        parts = n - math.ceil(self.least) + 1
+        self.edges = [LEADING + (n - LEADING) * i // parts for i in range(parts + 1)] if 0 < parts <= n - LEADING else None
+        self.index: defaultdict[tuple[int, bytes], list[int]] | None = None
+
+    def _parts(self, tokens: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(lo, tokens[lo:hi].tobytes()) for lo, hi in zip(self.edges, self.edges[1:], strict=False)]
+
+    def _first(self, tokens: np.ndarray) -> int | None:
+        """The first template that agrees with ``tokens``."""
+        if self.index is None:
+            if self.edges is None or len(self.names) <= self.leaf_size:
+                hit = np.flatnonzero((self.table[: len(self.names)] == tokens).sum(axis=1) >= self.least)
+                return int(hit[0]) if len(hit) else None
+            self.index = defaultdict(list)
+            for i in range(len(self.names)):
+                self._enter(i, self._parts(self.table[i]))
+        some = np.unique(np.array([i for part in self._parts(tokens) for i in self.index.get(part, ())], np.int64))
+        hit = np.flatnonzero((self.table[some] == tokens).sum(axis=1) >= self.least)
+        return int(some[hit[0]]) if len(hit) else None
+
+    def _enter(self, i: int, parts: list[tuple[int, bytes]]) -> None:
+        for part in parts:
+            self.index[part].append(i)
+
+    def __call__(self, key: int, tokens: np.ndarray) -> int:
         # the leaf has one token count; were two to share a hash, they would be parsed apart
-        fits = len(tokens) == table.shape[1] and len(names) and (table[: len(names)] == tokens).sum(axis=1) >= similarity * len(tokens)
-        hit = np.flatnonzero(fits)
-        if len(hit):
-            t = table[hit[0]]
-            t[t != tokens] = 0
-            out.append((key, names[hit[0]]))
-            continue
-        out.append((key, key))
-        if len(tokens) == table.shape[1]:
-            if len(names) == len(table):
-                table = np.concatenate([table, np.empty_like(table)])
-            table[len(names)] = tokens
-            names.append(key)
-    return out
+        if len(tokens) != self.n:
+            return key
+        i = self._first(tokens)
+        if i is not None:
+            t = self.table[i]
+            if (t != tokens).any():
+                before = set(self._parts(t)) if self.index is not None else None
+                t[t != tokens] = 0
+                if before is not None:  # what the index has of the template before is harmless: each hit is compared in full
+                    self._enter(i, [part for part in self._parts(t) if part not in before])
+            return self.names[i]
+        if len(self.names) == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[len(self.names)] = tokens
+        if self.index is not None:
+            self._enter(len(self.names), self._parts(tokens))
+        self.names.append(key)
+        return key
+
+
+def parse(rows: list[tuple[int, np.ndarray]], similarity: float = SIMILARITY, leaf_size: int = LEAF) -> list[tuple[int, int]]:
+    """(line, template) hashes of one leaf's distinct lines, in the order given."""
+    parser = Parser(len(rows[0][1]) if rows else 0, similarity, leaf_size)
+    return [(key, parser(key, tokens)) for key, tokens in rows]
 
 
 def templates(distinct: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:
-    """(leaf, line_hash, template) for lines of leaves with several distinct lines whose template isn't their own."""
-    sizes = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    some = distinct.join(sizes, "leaf")
-    part = F.when(F.col("size") > leaf_size, F.pmod(F.col("following"), F.ceil(2 * F.col("size") / leaf_size))).otherwise(0).cast("long")
-    dealt = some.withColumn("part", part).repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.desc("copies"), "line_hash")
+    """(leaf, line_hash, template) for lines whose template isn't their own.  A leaf is one task's: which template a line joins depends on all lines before it."""
+    dealt = distinct.repartition("leaf").sortWithinPartitions("leaf", F.desc("copies"), "line_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(leaf: int, rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            moved = [(k, t) for k, t in parse(rows, similarity) if k != t]
-            return pa.RecordBatch.from_arrays([pa.array([leaf] * len(moved), pa.int64()), pa.array([k for k, _ in moved], pa.int64()), pa.array([t for _, t in moved], pa.int64())], ["leaf", "line_hash", "template"])
-
-        at: tuple[int, int] | None = None
-        rows: list[tuple[int, np.ndarray]] = []
+        at: int | None = None
+        parser = Parser(0)
         for b in batches:
-            for leaf, part_, key, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line_hash", "tokens")), strict=True):
-                if (leaf, part_) != at:
-                    if at is not None and len(rows) > 1:
-                        yield flush(at[0], rows)
-                    at, rows = (leaf, part_), []
-                rows.append((key, np.frombuffer(tokens, np.uint16)))
-        if at is not None and len(rows) > 1:
-            yield flush(at[0], rows)
-
-    return dealt.select("leaf", "part", "line_hash", "tokens").mapInArrow(run, "leaf long, line_hash long, template long")
+            moved: list[tuple[int, int, int]] = []
+            for leaf, key, tokens in zip(*(b.column(c).to_pylist() for c in ("leaf", "line_hash", "tokens")), strict=True):
+                line = np.frombuffer(tokens, np.uint16)
+                if leaf != at:
+                    at, parser = leaf, Parser(len(line), similarity, leaf_size)
+                template = parser(key, line)
+                if template != key:
+                    moved.append((leaf, key, template))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in moved], pa.int64()) for i in range(3)], ["leaf", "line_hash", "template"])
+
+    return dealt.select("leaf", "line_hash", "tokens").mapInArrow(run, "leaf long, line_hash long, template long")
 
 
 def dropped_lines(docs: DataFrame, scanned: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:

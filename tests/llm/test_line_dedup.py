@@ -44,6 +44,22 @@ def test_split_leaves_still_find_copies(docs_of):
     assert sum(r["n_dropped"] for r in got) >= 50
 
 
+def test_large_leaves_give_what_small_ones_give(docs_of):
+    rows = [(i, f"same first three words w{'abcdefghij'[i % 10]} then more of the same {i // 10}") for i in range(60)]
+    rows += [(100 + i, f"the same start {'abcdefghijklmnopqrstuvwxyz'[i]} {'zyxwvutsrqponmlkjihgfedcba'[i]} and an end that all of them have here") for i in range(26)]
+    verdicts = lambda **options: sorted(map(tuple, line_dedup.line_verdicts(docs_of(rows), **options).collect()))
+    got = verdicts(leaf_size=2)
+    assert got == verdicts(leaf_size=10**9) and sum(r[2] for r in got) == 59 + 25
+
+
+def test_index_equals_comparison_with_all():
+    r = np.random.default_rng(3)
+    for n in (5, 6, 8, 13, 30):
+        for values in (3, 12):
+            coded = [(k, np.concatenate([[7, 7, 7], r.integers(0, values, n - 3)]).astype(np.uint16)) for k in range(400)]
+            assert line_dedup.parse(coded, leaf_size=1) == line_dedup.parse(coded, leaf_size=10**9)
+
+
 def test_awkward(docs_of, awkward):
     got = line_dedup.line_verdicts(docs_of(awkward)).collect()
     assert len(got) == len(awkward) and {r["n_lines"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
