@@ -5,7 +5,9 @@ count, then the leading tokens.  In a leaf, distinct lines are parsed in order o
 how common they are: a line joins the first template that agrees with it in
 enough places, and places that differ become variable; else it is a new template.
 A template that occurs in more than one document is recurring: its first line
-stays and all others are dropped.
+stays and all others are dropped.  A line of fewer than ``MIN_TOKENS`` tokens is a
+leaf and template of its own: it recurs if its words do, in order, its variable
+fields aside; if it has nothing but such fields, they have to be the same too.
 
 Texts become hashes of lines and leaves in numpy; what is shuffled is a few numbers
 a line.  Tokens, 16 bits each, are gathered only of leaves with several
@@ -32,7 +34,7 @@ from strandgraph.llm.common import broadcast_if_small, cut, documents
 from strandgraph.llm.lm_score import grouped, spans
 
 U = np.uint64
-#: Leading tokens that a path has; lines with fewer tokens than MIN_TOKENS are left alone.
+#: Leading tokens that a path has; lines with fewer tokens than MIN_TOKENS aren't generalised.
 LEADING = 3
 MIN_TOKENS = 5
 #: Share of places in which a line has to agree with a template.
@@ -73,7 +75,8 @@ class Lines:
         tokens = sh.mix((sums[e] - sums[s]) * down[s])
         count = lambda hit: np.concatenate([[0], np.cumsum(hit)])
         digits = count((data >= 48) & (data <= 57))
-        tokens[digits[e] > digits[s]] = U(FIELD)
+        plain, field = tokens.copy(), digits[e] > digits[s]
+        tokens[field] = U(FIELD)
         newlines = count(data == 10)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         no = newlines[s] - newlines[(np.cumsum(sizes) - sizes)[text]]
@@ -82,12 +85,15 @@ class Lines:
         self.n = np.diff(np.append(self.first, len(s)))
         self.text, self.no, self.tokens = text[self.first], no[self.first], tokens
         place = np.arange(len(s)) - np.repeat(self.first, self.n)
+        short = self.n < MIN_TOKENS
+        bare = np.repeat(short & np.logical_and.reduceat(field, self.first), self.n)
+        tokens[bare] = plain[bare]
         self.hash = sh.mix(np.add.reduceat(tokens * _places(int(self.n.max()))[place], self.first) + self.n.astype(U))
         leading = np.zeros(len(self.first), U)
         for k in range(LEADING):
             at = np.minimum(self.first + k, len(self.tokens) - 1)
             leading += np.where(self.n > k, self.tokens[at] * sh.PLACES[k], U(0))
-        self.leaf = sh.mix(leading + self.n.astype(U) * U(sh.BASE))
+        self.leaf = np.where(short, self.hash, sh.mix(leading + self.n.astype(U) * U(sh.BASE)))
 
     def token_bytes(self, i: int) -> bytes:
         """16 bits a token; 0 is a variable field."""
@@ -99,8 +105,8 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, leaf, line_hash, n_lines): a row for each line of ``MIN_TOKENS`` tokens at least, and one with line_no -1 for each row of ``docs``."""
+def scan(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """(doc_id, text_hash, line_no, leaf, line_hash, n_lines): a row for each line of ``least`` tokens at least, and one with line_no -1 for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_hash", "line_no", "leaf", "line_hash", "n_lines"]
@@ -112,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 zero = np.zeros(len(texts), np.int64)
                 n_lines = np.bincount(x.text, minlength=len(texts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([own, _signed(hashes), pa.array(zero - 1), pa.array(zero), pa.array(zero), pa.array(n_lines)], names)
-                some = np.flatnonzero(x.n >= MIN_TOKENS)
+                some = np.flatnonzero(x.n >= least)
                 yield pa.RecordBatch.from_arrays([own.take(pa.array(x.text[some])), _signed(hashes[x.text[some]]), pa.array(x.no[some].astype(np.int64)), _signed(x.leaf[some]), _signed(x.hash[some]), pa.array(np.zeros(len(some), np.int64))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text_hash long, line_no long, leaf long, line_hash long, n_lines long")
@@ -245,24 +251,25 @@ def dropped_lines(docs: DataFrame, scanned: DataFrame, similarity: float = SIMIL
     return hits.join(stay, ["leaf", "template"]).where(where != F.col("stay")).select("doc_id", "text_hash", "line_no").distinct()
 
 
-def line_verdicts(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:
+def line_verdicts(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF, least: int = MIN_TOKENS) -> DataFrame:
     """``doc_id, n_lines, n_dropped, dropped`` for each row: lines with a word, and the numbers (from 0) of those that go, joined by commas.
 
+    ``least`` tokens make a line that may go: 1 for all lines.
     Null and empty texts have no lines; rows that repeat a doc_id are one
     document to the tree (rows that repeat its text too share one verdict);
     rows without doc_id are left alone; an empty table gives an empty result.
     """
-    scanned = cut(scan(docs))
+    scanned = cut(scan(docs, least))
     gone = dropped_lines(docs, scanned, similarity, leaf_size).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line_no")).alias("nos"))  # a document's own lines
     joined = scanned.where("line_no < 0").select("doc_id", "text_hash", "n_lines").join(gone, ["doc_id", "text_hash"], "left")
     nos = F.coalesce("nos", F.expr("CAST(array() AS ARRAY<BIGINT>)"))
     return joined.select("doc_id", "n_lines", F.size(nos).cast("long").alias("n_dropped"), F.array_join(nos, ",").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF) -> DataFrame:
+def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF, least: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; other columns stay as they are."""
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    gone = dropped_lines(docs, cut(scan(docs)), similarity, leaf_size).groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"), F.count_distinct("text_hash").alias("texts"))
+    gone = dropped_lines(docs, cut(scan(docs, least)), similarity, leaf_size).groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"), F.count_distinct("text_hash").alias("texts"))
     # an id with several texts keeps them as they are: its lines can't be told apart by number
     joined = whole.join(gone.where("texts = 1"), F.col("id") == F.col("doc_id"), "left")
     kept = F.filter(F.split(F.col("row.text"), "\n"), lambda _, i: ~F.array_contains("nos", i.cast("long")))
@@ -271,4 +278,4 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int =
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_verdicts(documents(spark, sf_dir))
+    return line_verdicts(documents(spark, sf_dir), least=1)

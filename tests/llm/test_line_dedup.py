@@ -60,6 +60,19 @@ def test_index_equals_comparison_with_all():
             assert line_dedup.parse(coded, leaf_size=1) == line_dedup.parse(coded, leaf_size=10**9)
 
 
+def test_short_lines_go_in_the_query(spark, docs_of, tmp_path):
+    rows = [
+        (1, "All rights reserved.\na story with words of its own here\n12"),
+        (2, "And\nAll rights  reserved.\n12\nPage 3 of 9"),
+        (3, "all rights reserved.\n13\nPage 4 of 9\nAnd then he went"),
+        (4, "And\nAnd then he said\nAll rights reserved.\nonce\nonce"),
+        (5, "7 8\n7 8"),
+    ]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, ""), 2: (4, "1,2"), 3: (4, "2"), 4: (5, "0,2"), 5: (2, "")}
+
+
 def test_awkward(docs_of, awkward):
     got = line_dedup.line_verdicts(docs_of(awkward)).collect()
     assert len(got) == len(awkward) and {r["n_lines"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
