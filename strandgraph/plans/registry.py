@@ -85,8 +85,8 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.bfs(g, _source(g))
 
 
-def _deep_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = customer_part(spark, sf_dir, 50).written()
+def _deep_levels(spark: SparkSession, sf_dir: str, least: int | None = 50) -> DataFrame:
+    g = customer_part(spark, sf_dir, least).written()
     return traversal.bfs(g, _source(g)).where("level IS NOT NULL")
 
 
@@ -95,8 +95,8 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.sssp(g, _source(g))
 
 
-def _sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = customer_part(spark, sf_dir, 50).written()
+def _sentinel(spark: SparkSession, sf_dir: str, least: int | None = 50) -> DataFrame:
+    g = customer_part(spark, sf_dir, least).written()
     return traversal.with_sentinel(traversal.bfs(g, _source(g)), "level", g.vertices.count() + 1)
 
 
@@ -106,8 +106,8 @@ def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.bfs_multi_source(g, sources)
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.cc(customer_part(spark, sf_dir, 50))
+def _labels(spark: SparkSession, sf_dir: str, least: int | None = 50) -> DataFrame:
+    return traversal.cc(customer_part(spark, sf_dir, least))
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +170,9 @@ def queries() -> dict[str, Query]:
         "bfs_frontier_sizes": lambda s, d: traversal.frontier_sizes(_levels(s, d)),
         "bfs_multi_source": _multi,
         "bfs_hybrid_sentinel": _sentinel,
+        # those named _all have no SQL: they run over the whole tables, the ones before them over orders of 50 pieces
+        "bfs_levels_deep_all": lambda s, d: _deep_levels(s, d, None),
+        "bfs_hybrid_sentinel_all": lambda s, d: _sentinel(s, d, None),
         "bfs_metrics": _metrics,
         "sssp_distances": _distances,
         "sssp_reached": lambda s, d: traversal.reached_count(_distances(s, d), "distance"),
@@ -179,6 +182,9 @@ def queries() -> dict[str, Query]:
         "cc_labels_directed": lambda s, d: traversal.cc(user_transitions(s, d)),
         "cc_count": lambda s, d: traversal.component_count(_labels(s, d)),
         "cc_sizes": lambda s, d: traversal.component_sizes(_labels(s, d)),
+        "cc_labels_all": lambda s, d: _labels(s, d, None),
+        "cc_count_all": lambda s, d: traversal.component_count(_labels(s, d, None)),
+        "cc_sizes_all": lambda s, d: traversal.component_sizes(_labels(s, d, None)),
         "cc_metrics": _cc_metrics,
         "pagerank_hold_k": _ranks(max_rounds=ROUNDS),
         "pagerank_commit_k": _ranks(max_rounds=ROUNDS, init="1/V", freeze="commit"),

@@ -19,9 +19,11 @@ def supplier_part(spark: SparkSession, sf_dir: str, symmetric: bool = True) -> G
     return g.both_ways() if symmetric else g
 
 
-def customer_part(spark: SparkSession, sf_dir: str, least_quantity: int = 49, symmetric: bool = True) -> Graph:
-    """Customers and the parts that they ordered in at least ``least_quantity`` pieces: a sparse graph with long paths."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_quantity") >= least_quantity)
+def customer_part(spark: SparkSession, sf_dir: str, least_quantity: int | None = 49, symmetric: bool = True) -> Graph:
+    """Customers and the parts that they ordered in at least ``least_quantity`` pieces: a sparse graph with long paths.  None: all parts that they ordered."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if least_quantity is not None:
+        lines = lines.where(F.col("l_quantity") >= least_quantity)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     edges = joined.groupBy((F.col("o_custkey") * 2 + 1).cast("long").alias("src"), (F.col("l_partkey") * 2).cast("long").alias("dst")).agg(F.min("l_quantity").cast("long").alias("weight"))
