@@ -142,9 +142,9 @@ def _ranks(**options) -> Query:
     return query
 
 
-def _rank_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rank_sizes(spark: SparkSession, sf_dir: str, max_rounds: int | None = ROUNDS) -> DataFrame:
     sizes: list[tuple[int, int, int]] = []
-    pagerank(supplier_part(spark, sf_dir), max_rounds=ROUNDS, sizes=sizes)
+    pagerank(supplier_part(spark, sf_dir), max_rounds=max_rounds, sizes=sizes)
     return spark.createDataFrame(sizes, "iteration int, active_vertices long, newly_frozen long")
 
 
@@ -170,7 +170,7 @@ def queries() -> dict[str, Query]:
         "bfs_frontier_sizes": lambda s, d: traversal.frontier_sizes(_levels(s, d)),
         "bfs_multi_source": _multi,
         "bfs_hybrid_sentinel": _sentinel,
-        # those named _all have no SQL: they run over the whole tables, the ones before them over orders of 50 pieces
+        # those named _all have no SQL: they run over the whole tables and to the end, the ones without it over orders of 50 pieces or for ROUNDS rounds
         "bfs_levels_deep_all": lambda s, d: _deep_levels(s, d, None),
         "bfs_hybrid_sentinel_all": lambda s, d: _sentinel(s, d, None),
         "bfs_metrics": _metrics,
@@ -190,6 +190,7 @@ def queries() -> dict[str, Query]:
         "pagerank_commit_k": _ranks(max_rounds=ROUNDS, init="1/V", freeze="commit"),
         "pagerank_host_k": _ranks(max_rounds=ROUNDS, init="1/V", freeze="commit", damping=0.15),
         "pagerank_frontier_sizes": _rank_sizes,
+        "pagerank_frontier_sizes_all": lambda s, d: _rank_sizes(s, d, None),
         "pagerank_hold": _ranks(),
         "pagerank_commit": _ranks(init="1/V", freeze="commit"),
         "out_degree": lambda s, d: dg.out_degrees(_sp(s, d)),

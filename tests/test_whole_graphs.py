@@ -53,3 +53,16 @@ def test_levels_of_all_orders(spark, orders):
     level = reach(orders, min(orders, key=lambda x: (-len(orders[x]), x)))
     assert {r["id"]: r["level"] for r in run(spark, "bfs_levels_deep_all").collect()} == level
     assert {r["id"]: r["level"] for r in run(spark, "bfs_hybrid_sentinel_all").collect()} == {x: level.get(x, len(orders) + 1) for x in orders}
+
+
+def test_frontier_sizes_to_the_end(spark):
+    of = neighbours(f"SELECT DISTINCT l_suppkey * 2 + 1, l_partkey * 2 FROM '{SF}/lineitem.parquet'")
+    rank, active, expected = dict.fromkeys(of, 1.0), set(of), []
+    while active:
+        new = {x: 0.15 + 0.85 * sum(rank[y] / len(of[y]) for y in of[x]) for x in active}
+        on = {x for x in active if abs(new[x] - rank[x]) > 1e-3}
+        expected.append((len(expected), len(active), len(active) - len(on)))
+        rank |= {x: new[x] for x in on}
+        active = on
+    got = sorted(map(tuple, run(spark, "pagerank_frontier_sizes_all").collect()))
+    assert got == expected and len(got) > registry.ROUNDS and got[-1][1] == got[-1][2]
