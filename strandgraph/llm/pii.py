@@ -1,13 +1,15 @@
 """Personal data: exact base patterns, then bootstrapped contextual extraction.
 
-The base patterns give seeds.  The word before a seed is a lexical pattern; the
-words with a digit that stand after such patterns are instances.  The bipartite
-graph of patterns and instances is scored in rounds: a pattern by the confidence
-of its instances over *all* its occurrences in the corpus, an instance by its
-patterns.  Instances after high-confidence patterns are new spans.
-
-Patterns and instances are keyed tables; a pattern's occurrences are counted over
-every word of every text with partial aggregation.
+The base patterns give seeds.  The word before a seed is a lexical pattern; all
+words that stand after such patterns are instances.  The bipartite graph of
+patterns and instances is scored in rounds: a pattern by the confidence of its
+instances over *all* its occurrences in the corpus, an instance by its patterns,
+and one without a digit over all its occurrences too, since it may be a common
+word.  After each round, words that stand before several confident instances
+become patterns.  Instances after high-confidence patterns are new spans.
+
+Patterns and instances are keyed tables; occurrences are counted over every word
+of every text with partial aggregation.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import SPACE_CLASS, cut, documents
+from strandgraph.llm.common import SPACE_CLASS, broadcast_if_small, cut, documents
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain forms, written so that no run of characters is read twice: a match starts at the
@@ -27,8 +29,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: A word with a digit, and the white space class of words.
-INSTANCE = rf"(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}0-9]*+[0-9][^{SPACE_CLASS}]*+"
+#: Stands for the characters of base spans where words are compared with what is left of them.
+MARK = "\ufdd0"
 ROUNDS = 3
 #: Weight of the prior that a pattern is not one; distinct seeds and score from which it is trusted; instance confidence.
 PRIOR = 2.0
@@ -95,10 +97,48 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs``: its base spans of each kind, and the other words with a digit."""
+    """A row for each row of ``docs``: its text's hash and its base spans of each kind, each with the word before it in the text."""
+    text = F.col("text")
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", *(base_spans(F.col("text"), k).alias(k) for k in KINDS), F.when(F.rlike("text", F.lit("[0-9]")), found(F.col("text"), INSTANCE)).otherwise(F.expr(_EMPTY)).alias("others"))
-    return rows.withColumn("row", F.monotonically_increasing_id())
+    before = lambda x: F.lower(F.regexp_extract(F.substring(text, F.greatest(x["s"] - 200, F.lit(0)) + 1, F.least(x["s"], F.lit(200))), rf"([^{SPACE_CLASS}]+)[{SPACE_CLASS}]+$", 1))
+    spans = lambda k: F.transform(base_spans(text, k), lambda x: F.struct(x["s"], x["e"], x["m"], before(x).alias("c")))
+    return rows.select("doc_id", key(text), *(spans(k).alias(k) for k in KINDS))
+
+
+def key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key")
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """(text_key, pattern, word, at): each word outside base spans that has a word before it, and its place among the pieces between single white space."""
+    text, space = F.col("text"), f"[{SPACE_CLASS}]"
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    hidden = F.aggregate(
+        F.concat(*(base_spans(text, k) for k in KINDS)),
+        text,
+        lambda t, x: F.overlay(t, F.regexp_replace(F.substring(text, x["s"] + 1, x["e"] - x["s"]), r"[^\x20]", MARK), x["s"] + 1, x["e"] - x["s"]),
+    )
+    both = F.zip_with(F.split(text, space, -1), F.split(hidden, space, -1), lambda x, y: F.struct(x.alias("w"), (x != y).alias("base")))
+    words = F.filter(F.transform(both, lambda x, i: F.struct(x["w"].alias("w"), x["base"].alias("base"), i.alias("at"))), lambda x: x["w"] != "")
+    none = F.array(F.struct(F.lit("").alias("w"), F.lit(False).alias("base"), F.lit(0).alias("at")))
+    after = lambda a: F.zip_with(F.concat(none, a), a, lambda p, x: F.struct(F.lower(p["w"]).alias("pattern"), x["w"].alias("word"), x["at"].alias("at"), x["base"].alias("base")))
+    held = F.element_at(F.transform(F.array(words), after), 1)
+    return rows.select(key(text), F.explode(held).alias("x")).where("NOT x.base AND x.pattern <> ''").select("text_key", "x.pattern", "x.word", "x.at")
+
+
+def candidates(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, instance, n, held): words after ``patterns``; ``held`` is how often one without a digit stands in the corpus."""
+    counted = pairs(docs).join(broadcast_if_small(patterns), "pattern", "left_semi").groupBy("pattern", F.col("word").alias("instance")).agg(F.count(F.lit(1)).alias("n"))
+    plain = F.when(~F.rlike("instance", F.lit("[0-9]")), F.lower("instance"))
+    often = occurrences(docs).select(F.col("pattern").alias("plain"), F.col("total").alias("held"))
+    return counted.withColumn("plain", plain).join(often, "plain", "left").select("pattern", "instance", "n", "held")
+
+
+def induced(docs: DataFrame, seeds: DataFrame, sure: DataFrame, patterns: DataFrame, least: int) -> DataFrame:
+    """(pattern): words before ``least`` distinct seeds or confident instances of (instance) that aren't patterns yet."""
+    found = pairs(docs).join(broadcast_if_small(sure.select(F.col("instance").alias("word"))), "word", "left_semi").select("pattern", F.col("word").alias("instance")).distinct()
+    every = found.union(seeds.select("pattern", "instance")).join(patterns, "pattern", "left_anti")
+    return every.groupBy("pattern").agg(F.count_distinct("instance").alias("d")).where(F.col("d") >= least).select("pattern")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -107,23 +147,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return words.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
 
 
-def trusted(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(pattern, kind, score, seeds) and (instance, confidence) after ``rounds`` rounds over edges (pattern, instance, kind, n).
+def trusted(edges: DataFrame, totals: DataFrame, labels: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, score, seeds) and (instance, confidence) after ``rounds`` rounds over edges (pattern, instance, kind, n, held).
 
-    ``kind`` is null for an instance that no base pattern matches.
+    ``kind`` is null for an instance that no base pattern matches; ``labels``
+    (instance, as_kind, sure) has those found so far, which count as seeds and
+    start with their confidence.
     """
-    edges = cut(edges.join(totals, "pattern"))
-    seeds = edges.where("kind IS NOT NULL")
-    kinds = seeds.groupBy("pattern", "kind").agg(F.sum("n").alias("w"), F.count_distinct("instance").alias("d"))
-    kinds = kinds.groupBy("pattern").agg(F.max(F.struct("w", "kind"))["kind"].alias("kind"), F.sum("d").alias("seeds"))
-    certain = seeds.select("instance").distinct().withColumn("seed", F.lit(True))
-    confidence = cut(certain.select("instance", F.lit(1.0).alias("confidence")))
+    edges = edges.join(totals, "pattern")
+    known = edges.withColumn("as_kind", F.col("kind")) if labels is None else edges.join(labels.select("instance", "as_kind"), "instance", "left").withColumn("as_kind", F.coalesce("kind", "as_kind"))
+    edges = known  # its tables are written, and a copy of them is large
+    told = edges.where("as_kind IS NOT NULL")
+    kinds = told.groupBy("pattern", "as_kind").agg(F.sum("n").alias("w"), F.count_distinct("instance").alias("d"))
+    kinds = kinds.groupBy("pattern").agg(F.max(F.struct("w", "as_kind"))["as_kind"].alias("kind"), F.sum("d").alias("seeds"))
+    certain = edges.where("kind IS NOT NULL").select("instance").distinct().withColumn("seed", F.lit(True))
+    start = certain.select("instance", F.lit(1.0).alias("confidence"))
+    confidence = cut(start if labels is None else start.union(labels.select("instance", "sure").join(certain, "instance", "left_anti")))
     for _ in range(rounds):
         known = edges.join(confidence, "instance", "left")
         mass = F.sum(F.col("n") * F.coalesce("confidence", F.lit(0.0)))
         score = known.groupBy("pattern").agg((mass / (F.first("total") + PRIOR)).alias("score"))
         score = cut(score)
-        judged = edges.join(score, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean"))
+        judged = edges.join(score, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.col("score")) / F.greatest(F.sum("n"), F.max("held"))).alias("mean"))
         confidence = cut(judged.join(certain, "instance", "left").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("confidence")))
     return score.join(kinds, "pattern"), confidence
 
@@ -139,23 +184,40 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     scanned = cut(scan(docs))
     seeds = None
     for kind in KINDS:
-        part = scanned.select("row", F.lit(kind).alias("kind"), F.explode(kind).alias("x"))
+        part = scanned.select(F.lit(kind).alias("kind"), F.explode(kind).alias("x"))
         seeds = part if seeds is None else seeds.union(part)
-    apart = lambda x: ~F.exists(F.concat(*KINDS), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    others = scanned.where(F.size("others") > 0).select("row", F.lit(None).cast("string").alias("kind"), F.explode(F.filter("others", apart)).alias("x"))
-    every = seeds.union(others).select("row", "kind", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.sha2(F.col("x.m").cast("binary"), 256).alias("instance"), F.col("x.c").alias("pattern")).where("pattern <> ''")
-    held = every.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n"))
-    patterns = held.where("kind IS NOT NULL").groupBy("pattern").agg(F.count_distinct("instance").alias("d")).where(F.col("d") >= min_seeds).select("pattern")
-    patterns = cut(patterns)
-    edges = held.join(patterns, "pattern", "left_semi")
-    totals = occurrences(docs).join(patterns, "pattern", "left_semi")
-    scores, confidence = trusted(edges, totals, rounds)
-    good = scores.where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", F.col("kind").alias("as_kind"))
-    sure = confidence.where(F.col("confidence") >= min_confidence).select("instance")
-    new = every.where("kind IS NULL").join(good, "pattern").join(sure, "instance", "left_semi")
-    new = new.groupBy("row").agg(F.collect_list(F.struct(F.col("as_kind").alias("k"), "s", "e")).alias("new"))
+    seeds = seeds.select(F.col("x.c").alias("pattern"), F.col("x.m").alias("instance"), "kind").where("pattern <> ''")
+    seeds = cut(seeds.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")))
+    patterns = fresh = cut(seeds.groupBy("pattern").agg(F.count_distinct("instance").alias("d")).where(F.col("d") >= min_seeds).select("pattern"))
+    words = labels = totals = None
+    for left in reversed(range(rounds)):
+        more, often = cut(candidates(docs, fresh)), cut(occurrences(docs).join(broadcast_if_small(fresh), "pattern", "left_semi"))
+        words, totals = (more, often) if words is None else (words.union(more), totals.union(often))
+        base = seeds.join(patterns, "pattern", "left_semi").withColumn("held", F.lit(None).cast("long"))
+        edges = base.unionByName(words.withColumn("kind", F.lit(None).cast("string")))
+        scores, confidence = trusted(edges, totals, labels, rounds)
+        good = cut(scores.where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", F.col("kind").alias("as_kind")))
+        sure = words.join(good, "pattern").join(confidence.where(F.col("confidence") >= min_confidence), "instance")
+        sure = sure.groupBy("instance").agg(F.max(F.struct("n", "as_kind"))["as_kind"].alias("as_kind"), F.first("confidence").alias("sure"))
+        labels = cut(sure)
+        if not left or labels.isEmpty():
+            break
+        fresh = cut(induced(docs, seeds, labels, patterns, min_seeds))
+        if fresh.isEmpty():
+            break
+        patterns = cut(patterns.union(fresh))
+    new = pairs(docs).join(broadcast_if_small(good), "pattern").join(broadcast_if_small(labels.select(F.col("instance").alias("word"))), "word", "left_semi") if not labels.isEmpty() else None
+    if new is None:
+        new = docs.sparkSession.createDataFrame([], "text_key binary, new array<struct<k: string, s: int, e: int>>")
+    else:
+        places = cut(new.groupBy("text_key").agg(F.collect_set(F.struct("at", "as_kind")).alias("places")))
+        own = docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", key(F.col("text"))).join(broadcast_if_small(places), "text_key").dropDuplicates(["text_key"])
+        pieces = F.array(F.split("text", f"[{SPACE_CLASS}]", -1))
+        start = lambda t, x: F.when(x["at"] > 0, F.char_length(F.array_join(F.slice(t, F.lit(1), x["at"]), " ")) + 1).otherwise(0)
+        placed = lambda t: F.transform("places", lambda x: F.struct(x["as_kind"].alias("k"), start(t, x).alias("s"), (start(t, x) + F.char_length(F.get(t, x["at"]))).alias("e")))
+        new = own.select("text_key", F.element_at(F.transform(pieces, placed), 1).alias("new"))
     spans = F.concat(*map(_tagged, KINDS))
-    joined = scanned.drop("others").join(new, "row", "left")
+    joined = scanned.join(new, "text_key", "left")
     order = lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["k"]).alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))
     text = lambda a: F.array_join(F.transform(F.array_sort(F.transform(a, order)), lambda x: F.concat_ws(":", x["k"], x["s"], x["e"])), ",")
     nothing = F.expr("CAST(array() AS ARRAY<STRUCT<k: STRING, s: INT, e: INT>>)")

@@ -45,5 +45,17 @@ def test_patterns_discover(docs_of):
     assert got[0] == joined(spans(rows[0][1]))
 
 
+def test_words_without_digits_and_new_patterns(docs_of):
+    rows = [(i, f"words here and contact: user{i}@mail.org more") for i in range(40)]
+    rows += [(100, "please contact:  jane.doe[at]mail\ttoday"), (101, "today words please"), (102, "contact: 77[at]mail 0171 555 0123")]
+    rows += [(200 + i, f"contact: id{i}[at]mail or\nping: id{i}[at]mail") for i in range(12)] + [(300, "x 7 ping: zed9[at]mail 🙂 ping: other[at]mail")]
+    rows += [(400, "contact: words"), (401, "contact: a@b.co, contact: 5")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs_of(rows)).collect()}
+    assert got[100] == "email:17:33" and got[101] == "" and got[102] == "email:9:19"
+    assert got[200] == "email:9:20,email:30:41"
+    assert got[300] == "email:10:22,email:31:44"
+    assert got[400] == "" and got[401] == "email:9:15,email:26:27"
+
+
 def test_empty(docs_of):
     assert pii.personal_data(docs_of([])).count() == 0
