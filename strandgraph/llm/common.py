@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandgraph.checkpoints import checkpoint_dir, cut
+
+__all__ = ["checkpoint_dir", "cut"]
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\f\r"
 #: The same as a Java / RE2 character class body.
@@ -18,25 +23,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only for a local master."""
-    sc = spark.sparkContext
-    held = sc.getCheckpointDir()
-    if held:
-        return held
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+def quoted(name: str) -> str:
+    """A column name as Spark's parser takes it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df`` in one struct: beside it no name can clash.  ``select("row.*")`` gives them back."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row")
+
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared checkpoint folder and read from there, and its path for ``discard``.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: lineage ends, a lost executor costs nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    For tables with texts: compressed, and readers take only the columns they need, which ``cut`` can't do.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared store through Hadoop's file system, wherever that store is."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -58,6 +69,13 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def texts_of(batch, column: str = "text", rows: int = 64) -> Iterator[str | None]:
+    """The texts of an Arrow batch, a few as Python strings at a time."""
+    held = batch.column(column)
+    for i in range(0, len(held), rows):
+        yield from held.slice(i, rows).to_pylist()
+
+
 def squeezed(text: Column) -> Column:
     """``text`` without white space; null counts as empty.  Byte-wise replacing beats a regular expression here."""
     out = F.coalesce(text, F.lit(""))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import cut, documents, squeezed
+from strandgraph.llm.common import broadcast_if_small, cut, documents, row_of, squeezed
 
 #: Digests with at least this share of the rows are certain to be found frequent; at most 1/SUPPORT are held.
 SUPPORT = 1 / 1000
@@ -36,6 +36,18 @@ def frequent_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     return rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest")).distinct()
 
 
+def grouped(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """``digests()`` rows with their group's size and best row, the struct ``best`` of (-size, whether the id is null, id)."""
+    heavy = F.broadcast(frequent_digests(rows, support))  # at most 1/support digests
+    winners = cut(rows.join(heavy, "digest", "left_semi").groupBy("digest").agg(*_winner()))
+    hinted = F.broadcast(winners.withColumnRenamed("digest", "heavy"))  # at most 1/support rows, verified
+    large = rows.join(hinted, F.col("digest") == F.col("heavy")).drop("heavy")
+    rest = rows.join(hinted, F.col("digest") == F.col("heavy"), "left_anti")
+    small = rest.join(rest.groupBy("digest").agg(*_winner()), "digest")
+    columns = ["doc_id", "size", "digest", "best", "group_size"]
+    return large.select(*columns).unionByName(small.select(*columns))
+
+
 def group_exact(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     """For ``digests()`` rows: doc_id, keep_id, group_size, kept, text_sha256; one row for each row.
 
@@ -43,21 +55,31 @@ def group_exact(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     smallest doc_id, null last; repeated rows count in ``group_size`` and agree
     with each other; an empty table gives an empty result.
     """
-    heavy = F.broadcast(frequent_digests(rows, support))  # at most 1/support digests
-    winners = cut(rows.join(heavy, "digest", "left_semi").groupBy("digest").agg(*_winner()))
-    hinted = F.broadcast(winners.withColumnRenamed("digest", "heavy"))  # at most 1/support rows, verified
-    large = rows.join(hinted, F.col("digest") == F.col("heavy")).drop("heavy")
-    rest = rows.join(hinted, F.col("digest") == F.col("heavy"), "left_anti")
-    groups = rest.groupBy("digest").agg(*_winner())
-    small = rest.join(groups, "digest")
-    columns = [
-        F.col("doc_id"),
+    return grouped(rows, support).select(
+        "doc_id",
         F.col("best.d").alias("keep_id"),
-        F.col("group_size"),
+        "group_size",
         F.col("doc_id").eqNullSafe(F.col("best.d")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-    ]
-    return large.select(*columns).unionByName(small.select(*columns))
+    )
+
+
+def kept_rows(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """One whole row of each group of equal texts: the longest, then that of the smallest id, null last.
+
+    Rows that share id, length and normalised text are one document, of which any row stays;
+    null texts equal empty ones; an empty table gives an empty result.
+    """
+    digested = cut(digests(docs))
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("best.d")) & (F.col("size") == -F.col("best.s")))
+    gone = cut(grouped(digested, support).where(lost).select(F.struct("doc_id", "digest", "size").alias("gone")).distinct())
+    own = docs.select(row_of(docs), F.struct("doc_id", F.unhex(F.sha2(squeezed(F.col("text")).cast("binary"), 256)).alias("digest"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size")).alias("own"))
+    same = lambda c: F.struct(F.coalesce(F.col(f"{c}.doc_id"), F.lit(0)), F.col(f"{c}.doc_id").isNull(), F.col(f"{c}.digest"), F.col(f"{c}.size"))
+    left = own.join(broadcast_if_small(gone, 50_000), same("own") == same("gone"), "left_anti")
+    repeated = digested.groupBy("doc_id", "digest", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        left = left.dropDuplicates(["own"])
+    return left.select("row.*")
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:

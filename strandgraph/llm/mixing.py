@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import SPACE_CLASS, broadcast_if_small, cut, documents
+from strandgraph.llm.common import SPACE_CLASS, broadcast_if_small, cut, documents, row_of, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -63,21 +63,21 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, bins: int = BINS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for each row of ``docs``; columns in ``keep`` come along in the struct ``row``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, bins: int = BINS, keep: bool = False) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for each row of ``docs``; with ``keep`` all columns come along in the struct ``row``, and ``n_copies``.
 
     Null and empty texts have size 0 and give nothing; repeated rows are
     documents of their own and ties in rank go by id, then size; null is the
     last source; an empty table gives an empty result; all sizes 0 give targets 0.
     """
     rows = docs.select(
-        *([F.struct(*keep).alias("row")] if keep else []),
+        *([row_of(docs)] if keep else []),
         F.col("doc_id").alias("doc_id"),
         F.col("source").alias("source"),
         count_words(F.col("text")).alias("size"),
     )
-    if not keep:
-        rows = cut(rows)  # texts are read once; what stays is three small columns
+    # texts are read once; every step but the last reads three small columns
+    rows = stored(rows)[0] if keep else cut(rows)
     root = F.floor(F.sqrt(F.col("size").cast("double")) * 1000).cast("long")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((root * F.col("size")).cast("decimal(38,0)")).alias("scale"))
     sums = cut(sums)
@@ -130,6 +130,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return every.select(*(["row", (F.col("copies") + F.col("extra")).alias("n_copies")] if keep else []), "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("extra"))).alias("taken"))
 
 
+def taken_rows(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs``, whole, as often as ``mix`` takes it; see there for nulls, repeats and empty tables."""
+    copies = F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))
+    return mix(docs, keep=True).where("n_copies > 0").select("row", copies.alias("copy")).select("row.*")
+
+
 def _crossing(rows: DataFrame, keys: list[str], start: Column, *carry: Column, column: str = "bin") -> DataFrame:
     """For each source, the first interval whose words reach the rest, with the words before it.  At most ``bins`` rows a source are windowed."""
     sums = rows.groupBy(*keys, column).agg(F.sum("size").alias("words"), *carry)

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import broadcast_if_small, cut, documents, ensure_checkpoint_dir, release
+from strandgraph.checkpoints import checkpoint_dir
+from strandgraph.llm.common import broadcast_if_small, cut, documents, release, texts_of
 from strandgraph.llm.shingles import U, linked, mix, shingle_sets
 
 PERCENT = 75
@@ -42,19 +43,25 @@ LEVELS = 3
 BLOCK = 256
 #: A node is compared exhaustively if its members outside its largest component, times its members, are at most so many.
 SMALL = 4096
-#: Pairs that share fewer first-level nodes than this are left to deeper nodes.
-HITS = 3
+#: Small first-level nodes that two sets have to share to be compared; ``tree_count`` allows for it.
+HITS = 2
 
 
-def tree_count(recall: float = RECALL, percent: int = PERCENT, branch: int = BRANCH, levels: int = LEVELS) -> int:
-    """Independent trees so that two sets at the threshold share a node of every level with the given probability.
+def tree_count(recall: float = RECALL, percent: int = PERCENT, branch: int = BRANCH, levels: int = LEVELS, hits: int = HITS) -> int:
+    """Independent trees so that two sets at the threshold are compared with the given probability.
 
     Below a common node, two sets go on together unless none of the ``branch``
     smallest shingles of what is left of their union is common; the smallest is
-    common with probability ``percent / 100``.
+    common with probability ``percent / 100``.  A pair is missed if it meets in fewer
+    than ``hits`` of the trees whose first-level nodes are small, and in no
+    tree down to the last level where they are large; which trees are which is taken at its worst.
     """
-    together = (1 - (1 - percent / 100) ** branch) ** levels
-    return math.ceil(math.log(1 - recall) / math.log(1 - together))
+    meets = 1 - (1 - percent / 100) ** branch
+    few = lambda n: sum(math.comb(n, k) * meets**k * (1 - meets) ** (n - k) for k in range(min(hits, n + 1)))
+    trees = 1
+    while max(few(n) * (1 - meets**levels) ** (trees - n) for n in range(trees + 1)) > 1 - recall:
+        trees += 1
+    return trees
 
 
 def _multipliers(trees: int) -> np.ndarray:
@@ -68,7 +75,7 @@ def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, one, two, pools = [], [], [], []
-            for s in shingle_sets(b.column("text").to_pylist()):
+            for s in shingle_sets(texts_of(b)):
                 n.append(len(s))
                 one.append(int(s.sum(dtype=U).astype(np.int64)))
                 two.append(int(mix(s ^ U(0x5DEECE66D)).sum(dtype=U).astype(np.int64)))
@@ -139,7 +146,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
     sized = pairs.join(size_of("a"), "a").join(size_of("b"), "b")
     sized = cut(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
     ids = broadcast_if_small(cut(sized.select(F.col("a").alias("rep")).union(sized.select("b")).distinct()))
-    path = f"{ensure_checkpoint_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
     docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"]).write.parquet(path)  # compressed, unlike a checkpoint
     texts = docs.sparkSession.read.parquet(path)
 
@@ -149,7 +156,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             centres = batch.column("tb")
             out: list[int] = []
-            for i, s in enumerate(shingle_sets(batch.column("ta").to_pylist())):
+            for i, s in enumerate(shingle_sets(texts_of(batch, "ta"))):
                 if held[0] != b[i]:
                     held = (b[i], next(shingle_sets([centres[i].as_py()])))
                 if linked(s, held[1], percent):
@@ -258,7 +265,7 @@ def crowd_links(large: DataFrame, docs: DataFrame, percent: int, block: int = BL
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in shingle_sets(b.column("text").to_pylist())], pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([x.tobytes() for x in shingle_sets(texts_of(b))], pa.binary())], ["rep", "shingles"])
 
     dealt = placed.join(texts.mapInArrow(sets, "rep long, shingles binary"), "rep").repartition("crowd", "p", "q").sortWithinPartitions("crowd", "p", "q", "own", "rep")
 

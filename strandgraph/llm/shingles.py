@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -78,7 +78,7 @@ def _group(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield np.empty(0, U)
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """For each text its distinct shingles, sorted; a text of one to four words has one, of no word none."""
     held: list[bytes] = []
     size = 0

@@ -68,6 +68,6 @@ def test_awkward(docs_of, awkward):
 
 
 def test_kept_columns(docs_of, corpus):
-    got = mixing.mix(docs_of(corpus), keep=("doc_id", "text", "size"))
+    got = mixing.mix(docs_of(corpus), keep=True)
     r = got.where("doc_id = 3").first()
     assert r["row"]["size"] == 9 and r["taken"] == r["n_copies"] * r["size"]

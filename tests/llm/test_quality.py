@@ -34,8 +34,21 @@ def test_hosts(docs_of):
     assert all(kept[i] for i in range(100)) and kept[701]
     assert not kept[600] and not kept[702] and not kept[700]
     assert rates[700] < 1 and rates[700] < rates[200]  # one document is shrunk more than three hundred
-    keep = quality.quality_rules(docs_of(rows), keep=("doc_id", "source", "kept")).where("kept").select("row.*")
-    assert keep.columns == ["doc_id", "source", "kept"] and keep.count() == sum(kept.values())
+    whole = quality.kept_rows(docs_of(rows))
+    assert whole.columns == docs_of(rows).columns and sorted(r["doc_id"] for r in whole.collect()) == sorted(i for i, k in kept.items() if k)
+
+
+def test_suspect_hosts_are_held_to_strict_limits(docs_of):
+    """A planted host whose lines repeat far more often than on other hosts: its borderline documents fall, clean ones and those elsewhere stay."""
+    words = lambda i, n=60: " ".join(f"w{i}x{k}" for k in range(n))
+    lines = lambda i, repeated: "\n".join([words(f"{i}a{k}", 20) for k in range(10 - repeated)] + [words(f"{i}a0", 20)] * repeated)
+    rows = [(1000 * h + i, lines(f"{h}d{i}", 2) if i < 5 else words(f"{h}d{i}"), f"h{h}") for h in range(20) for i in range(40)]
+    rows += [(90000 + i, lines(f"b{i}", 4), "bad") for i in range(30)] + [(91000 + i, lines(f"c{i}", 2), "bad") for i in range(5)] + [(92000 + i, words(f"e{i}"), "bad") for i in range(5)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs_of(rows)).collect()}
+    assert {r["host_suspect"] for i, r in got.items() if i >= 90000} == {"lines"} and {r["host_suspect"] for i, r in got.items() if i < 90000} == {""}
+    assert not any(got[i]["kept"] for i in got if 90000 <= i < 92000)
+    assert all(got[i]["kept"] for i in got if i < 90000 or i >= 92000)
+    assert got[91000]["n_dup_lines"] == got[0]["n_dup_lines"] == 2
 
 
 def test_one_host_and_none(docs_of):
