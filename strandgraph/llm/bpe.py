@@ -3,7 +3,7 @@
 A text is cut into *units*, a run of ASCII white space and the run of other
 characters after it.  A pretoken never crosses the place where a character that
 isn't white space is followed by white space, so units are encoded alone and
-their ids are memoised.  The memo is cleared when full; it bounds memory, never results.
+their ids are memoised.  The memo is bounded in bytes; that never changes results.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import documents
+from strandgraph.llm.common import documents, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of a worker's memo.
-MEMO = 400_000
+#: Bytes of a worker's memo, about, and of its largest entry: longer units and pretokens aren't held.
+MEMO = 48 << 20
+LARGEST = 1 << 10
 UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space beyond ASCII (fixed values): such texts are cut by the full pattern at once.
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -136,62 +137,65 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-class Memo(dict):
-    """unit -> (",id,id", bytes); grows by what is asked for and starts anew when full."""
+class Generations(dict):
+    """A bounded memo: what was asked for lately stays when a new generation begins.
 
-    def __init__(self, bpe: Bpe, most: int = MEMO):
+    ``most`` is in bytes, by ``cost`` of an entry; two generations together hold no more.
+    """
+
+    def __init__(self, make, cost, most: int = MEMO):
         super().__init__()
-        self.bpe, self.most, self.pieces = bpe, most, {}
-
-    def __missing__(self, unit: str) -> str:
-        if len(self) >= self.most:
-            self.clear()
-        if len(self.pieces) >= self.most:
-            self.pieces.clear()
-        out = ""
-        for x in self.bpe.pretokens(unit):
-            ids = self.pieces.get(x)
-            if ids is None:
-                ids = self.pieces[x] = "".join(f",{i}" for i in self.bpe.merge(x.encode()))
-            out += ids
-        if len(unit) <= 64:
-            self[unit] = out
-        return out
+        self.make, self.cost, self.most = make, cost, most // 2
+        self.before: dict = {}
+        self.size = 0
+
+    def __missing__(self, key):
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+        cost = self.cost(key, got)
+        if cost <= LARGEST:
+            if self.size + cost > self.most:
+                self.before, self.size = dict(self), 0
+                self.clear()
+            self[key] = got
+            self.size += cost
+        return got
+
+
+class Coder:
+    """Units to (",id,id...", bytes): encoded, then decoded by joining the vocabulary strings of those ids."""
 
+    def __init__(self, bpe: Bpe, most: int = MEMO):
+        self.bpe = bpe
+        held = lambda x, out: 300 + 2 * len(x) + sum(map(len, out))
+        self.pieces = Generations(lambda x: self.coded(bpe.merge(x.encode())), held, most // 2)
+        self.units = Generations(self.unit, held, most)
 
-class Spelled(dict):
-    """",id,id" of a unit -> its bytes, the vocabulary strings set one after another."""
+    def coded(self, ids: list[int]) -> tuple[str, bytes]:
+        return "".join(f",{i}" for i in ids), b"".join(map(self.bpe.bytes_of.__getitem__, ids))
 
-    def __init__(self, bpe: Bpe, most: int = MEMO):
-        super().__init__()
-        self.bpe, self.most = bpe, most
-
-    def __missing__(self, ids: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = b"".join(self.bpe.bytes_of[int(i)] for i in ids[1:].split(",")) if ids else b""
-        if len(ids) <= 256:
-            self[ids] = out
-        return out
+    def unit(self, text: str) -> tuple[str, bytes]:
+        both = [self.pieces[x] for x in self.bpe.pretokens(text)]
+        return "".join([x[0] for x in both]), b"".join([x[1] for x in both])
 
 
 @lru_cache(maxsize=4)
-def memos(path: str) -> tuple[Bpe, Memo, Spelled]:
-    """One of each for a Python worker, which Spark reuses for later tasks."""
-    bpe = load(path)
-    return bpe, Memo(bpe), Spelled(bpe)
+def coder(path: str) -> Coder:
+    """One for a Python worker, which Spark reuses for later tasks."""
+    return Coder(load(path))
 
 
 def round_trip(text: str | None, path: str) -> tuple[str, bytes]:
     """Ids as ",id,id..." and the bytes that decoding them gives."""
-    bpe, memo, spelled = memos(path)
-    ids: list[str] = []
-    for k, part in enumerate(bpe.segments(text or "")):
+    c = coder(path)
+    both: list[tuple[str, bytes]] = []
+    for k, part in enumerate(c.bpe.segments(text or "")):
         if k % 2:
-            ids.append(f",{bpe.special[part]}")
+            both.append(c.coded([c.bpe.special[part]]))
         else:
-            ids += map(memo.__getitem__, bpe.units(part))
-    return "".join(ids), b"".join(map(spelled.__getitem__, ids))
+            both += map(c.units.__getitem__, c.bpe.units(part))
+    return "".join([x[0] for x in both]), b"".join([x[1] for x in both])
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -223,7 +227,7 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, ids_sha, decoded_sha = [], [], []
-            for t in b.column("text").to_pylist():
+            for t in texts_of(b):
                 ids, decoded = round_trip(t, path)
                 n.append(ids.count(","))
                 ids_sha.append(hashlib.sha256(ids[1:].encode()).hexdigest())

@@ -7,8 +7,13 @@ where an unfinished token may have begun, its node in the vocabulary trie, the
 last token before it and its count relative to now.  Reading a byte gives the
 next state and the change of the count; both are compiled on first use.
 
-A text is cut into chunks.  Each becomes a map from the state before it to the
-state after it and a count; the maps compose associatively, so a prefix scan in
+A text is a list of chunks: runs of whole pretokens, and parts of pretokens that are
+longer than a chunk.  A chunk becomes a map from the states that may stand before it
+to the state after it and the tokens it adds; a pretoken's end leads to the start
+state.  The state before a part of a pretoken is guessed by running the bytes before
+it from the start state, since a state mostly forgets what lies further back than the
+longest token; where the guess fails, composition runs the part from the state that
+comes in, so counts are exact.  Maps compose associatively: a prefix scan in
 log2(chunks) rounds gives the counts up to every chunk.
 """
 
@@ -23,21 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.bpe import MEMO, UNIT, VOCABULARY, WIDE_SPACE, Bpe, load
-from strandgraph.llm.common import documents
+from strandgraph.llm.bpe import MEMO, VOCABULARY, Bpe, Generations, load
+from strandgraph.llm.common import documents, texts_of
 
-#: Characters of a chunk.
+#: Bytes of a chunk.
 CHUNK = 1 << 16
+#: Bytes before a part of a pretoken from which the state before it is guessed.
+WARM = 512
+#: Characters of units and pretokens that are memoised.
+SHORT = 64
 #: States of a worker's transducer before it is compiled anew.
 STATES = 150_000
 LIMIT = 512
+State = tuple[tuple[int, int, int], ...]
+#: Before the first byte of a pretoken: one open place, at the root, without a last token.
+START: State = ((0, -1, 0),)
 
 
 class Transducer:
     """Deterministic; ``table[state << 8 | byte]`` is ``next state << 16 | count change + 2 ** 15``."""
 
     def __init__(self, bpe: Bpe, most: int = STATES):
-        self.bpe, self.most = bpe, most
+        self.bpe, self.most = bpe, max(most, 8)
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: dict[int, int] = {}
         for i, s in bpe.bytes_of.items():
@@ -54,9 +66,8 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        """State 0 stands before the first byte: one open place, at the root, without a last token."""
-        start = ((0, -1, 0),)
-        self.states, self.number, self.table = [start], {start: 0}, {}
+        """State 0 is START."""
+        self.states, self.number, self.table = [START], {START: 0}, {}
 
     def may_follow(self, left: int, right: int) -> bool:
         if left < 0:
@@ -91,83 +102,104 @@ class Transducer:
         out = self.table[state << 8 | byte] = k << 16 | count + 0x8000
         return out
 
-    def count(self, piece: bytes) -> int:
-        """Tokens of one pretoken."""
-        if len(self.states) > self.most:
-            self.reset()
-        total, state, table = 0, 0, self.table
-        for b in piece:
-            x = table.get(state << 8 | b)
-            if x is None:
-                x = self.compile(state, b)
-            total += (x & 0xFFFF) - 0x8000
-            state = x >> 16
-        return total
+    def run(self, state: State, piece: bytes) -> tuple[State, int]:
+        """The state after ``piece`` and the tokens it adds.  States are given whole: their numbers change when the table starts anew."""
+        total, i = 0, 0
+        while True:
+            if len(self.states) > self.most:
+                self.reset()
+            at = self.number.get(state)
+            if at is None:
+                at = self.number[state] = len(self.states)
+                self.states.append(state)
+            table, full = self.table, False
+            for i in range(i, len(piece)):
+                x = table.get(at << 8 | piece[i])
+                if x is None:
+                    full = len(self.states) > self.most
+                    if full:
+                        state = self.states[at]
+                        break
+                    x = self.compile(at, piece[i])
+                total += (x & 0xFFFF) - 0x8000
+                at = x >> 16
+            if not full:
+                return self.states[at], total
+
+
+class Counts(Generations):
+    """unit -> tokens of a short unit, with a memo of its pretokens below."""
 
+    def __init__(self, machine: Transducer, most: int = MEMO):
+        held = lambda x, n: 120 + 2 * len(x)
+        super().__init__(lambda unit: sum(map(self.pieces.__getitem__, machine.bpe.pretokens(unit))), held, most)
+        self.machine = machine
+        self.pieces = Generations(lambda x: machine.run(START, x.encode())[1], held, most // 2)
 
-class Counts(dict):
-    """unit -> tokens; starts anew when full."""
 
-    def __init__(self, machine: Transducer, most: int = MEMO):
-        super().__init__()
-        self.machine, self.most, self.pieces = machine, most, {}
-
-    def __missing__(self, unit: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        if len(self.pieces) >= self.most:
-            self.pieces.clear()
-        n = 0
-        for x in self.machine.bpe.pretokens(unit):
-            k = self.pieces.get(x)
-            if k is None:
-                k = self.machine.count(x.encode())
-                if len(x) <= 64:
-                    self.pieces[x] = k
-            n += k
-        if len(unit) <= 64:
-            self[unit] = n
-        return n
-
-
-@dataclass(frozen=True)
+@dataclass
 class ChunkMap:
-    """What a chunk does to the unfinished unit before it.
+    """State before -> (state after, tokens), of a chunk or of two maps one after the other.
 
-    Without a sure boundary (``head`` is None) the chunk only adds ``tail`` to that unit.
-    Otherwise the unit ends with ``head``, ``count`` tokens follow, and ``tail`` is unfinished.
+    ``to`` has the states that are likely; any other is run through ``piece``, or through both
+    halves, and then held.  A piece that ends a pretoken leads to the start state.
     """
 
-    head: str | None
-    count: int
-    tail: str
-
-    def then(self, other: ChunkMap, counts: Counts) -> ChunkMap:
-        if other.head is None:
-            return ChunkMap(self.head, self.count, self.tail + other.tail)
-        joined = self.tail + other.head
-        if self.head is None:
-            return ChunkMap(joined, other.count, other.tail)
-        return ChunkMap(self.head, self.count + sum(map(counts.__getitem__, UNIT.findall(joined))) + other.count, other.tail)
-
-
-def map_of(chunk: str, counts: Counts) -> ChunkMap:
-    """A sure boundary is where white space follows something else."""
-    units = UNIT.findall(chunk)
-    if chunk[:1].isspace():
-        units = ["", *units]  # its first boundary depends on what stands before
-    if len(units) < 3:
-        return ChunkMap(None, 0, chunk)
-    if not units[0]:
-        return ChunkMap(units[1], sum(map(counts.__getitem__, units[2:-1])), units[-1]) if len(units) > 3 else ChunkMap(None, 0, chunk)
-    return ChunkMap(units[0], sum(map(counts.__getitem__, units[1:-1])), units[-1])
+    to: dict[State, tuple[State, int]]
+    piece: bytes = b""
+    ends: bool = True
+    halves: tuple[ChunkMap, ChunkMap] | None = None
+
+    def apply(self, state: State, machine: Transducer) -> tuple[State, int]:
+        hit = self.to.get(state)
+        if hit is None:
+            if self.halves:
+                middle, n = self.halves[0].apply(state, machine)
+                after, more = self.halves[1].apply(middle, machine)
+                hit = (after, n + more)
+            else:
+                after, n = machine.run(state, self.piece)
+                hit = (START if self.ends else after, n)
+            self.to[state] = hit
+        return hit
+
+    def then(self, other: ChunkMap, machine: Transducer) -> ChunkMap:
+        both = ChunkMap({}, halves=(self, other))
+        for state in list(self.to):
+            both.apply(state, machine)
+        return both
+
+
+def maps_of(text: str, counts: Counts, chunk: int = CHUNK) -> Iterator[ChunkMap]:
+    """The chunks of a text without special strings, in order."""
+    machine, known = counts.machine, 0
+    for unit in machine.bpe.units(text):
+        if len(unit) <= SHORT:
+            known += counts[unit]
+            continue
+        for x in machine.bpe.pretokens(unit):
+            if len(x) <= SHORT:
+                known += counts.pieces[x]
+                continue
+            piece = x.encode()
+            if len(piece) <= chunk:
+                known += machine.run(START, piece)[1]
+                continue
+            yield ChunkMap({START: (START, known)})
+            known = 0
+            for i in range(0, len(piece), chunk):
+                part, ends = piece[i : i + chunk], i + chunk >= len(piece)
+                guess = machine.run(START, piece[max(i - WARM, 0) : i])[0]
+                after, n = machine.run(guess, part)
+                yield ChunkMap({guess: (START if ends else after, n)}, part, ends)
+    yield ChunkMap({START: (START, known)})
 
 
-def prefix_scan(maps: list[ChunkMap], counts: Counts) -> list[ChunkMap]:
+def prefix_scan(maps: list[ChunkMap], machine: Transducer) -> list[ChunkMap]:
     """Inclusive, in log2(n) rounds of independent compositions."""
     step = 1
     while step < len(maps):
-        maps = [maps[i - step].then(m, counts) if i >= step else m for i, m in enumerate(maps)]
+        maps = [maps[i - step].then(m, machine) if i >= step else m for i, m in enumerate(maps)]
         step *= 2
     return maps
 
@@ -180,17 +212,12 @@ def compiled(path: str) -> Counts:
 def count_tokens(text: str | None, path: str, chunk: int = CHUNK) -> int:
     """Tokens of a whole text; null counts as empty."""
     counts = compiled(path)
-    bpe, total = counts.machine.bpe, 0
-    for k, part in enumerate(bpe.segments(text or "")):
+    total = 0
+    for k, part in enumerate(counts.machine.bpe.segments(text or "")):
         if k % 2:
             total += 1
-        elif WIDE_SPACE.search(part):
-            total += counts[part]
-        elif len(part) <= chunk:
-            total += sum(map(counts.__getitem__, UNIT.findall(part)))
         else:
-            whole = prefix_scan([map_of(part[i : i + chunk], counts) for i in range(0, len(part), chunk)], counts)[-1]
-            total += whole.count + sum(counts[u] for rest in (whole.head or "", whole.tail) for u in UNIT.findall(rest))
+            total += prefix_scan(list(maps_of(part, counts, chunk)), counts.machine)[-1].to[START][1]
     return total
 
 
@@ -204,7 +231,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [count_tokens(t, path, chunk) for t in b.column("text").to_pylist()]
+            n = [count_tokens(t, path, chunk) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))

@@ -36,23 +36,46 @@ def test_like_the_library(library, texts):
 
 def test_memos_may_be_small(texts):
     b = bpe.load(PATH)
-    memo, spelled = bpe.Memo(b, 3), bpe.Spelled(b, 3)
-    counts = token_counts.Counts(token_counts.Transducer(b, 5), 3)
+    small, large = bpe.Coder(b, 3000), bpe.Coder(b)
+    counts = token_counts.Counts(token_counts.Transducer(b, 5), 3000)
     for t in texts[11:40]:
         for unit in b.units((t or "").replace("<|endoftext|>", "")):
-            assert memo[unit] == bpe.Memo(b)[unit] and spelled[memo[unit]] == unit.encode()
-            assert counts[unit] == memo[unit].count(",")
+            assert small.units[unit] == large.units[unit] and small.units[unit][1] == unit.encode()
+            assert counts[unit] == small.units[unit][0].count(",")
+    assert 0 < small.units.size <= 1500 and len(small.units) < 20
+
+
+def test_long_entries_are_not_held():
+    c = bpe.Coder(bpe.load(PATH))
+    assert c.units["w" * 5000] == c.units["w" * 5000]
+    assert not c.units and not c.pieces
 
 
 def test_scan_is_associative(texts):
     counts = token_counts.compiled(PATH)
-    text = " ".join(t for t in texts[11:20]).replace("<|endoftext|>", "")
-    maps = [token_counts.map_of(text[i : i + 9], counts) for i in range(0, len(text), 9)]
-    whole = token_counts.prefix_scan(maps, counts)[-1]
-    left = maps[0]
-    for m in maps[1:]:
-        left = left.then(m, counts)
-    assert whole == left
+    text = "".join(t.replace(" ", "") for t in texts[11:20]).replace("<|endoftext|>", "") + "qxz" * 100 + " tail"
+    for warm in (512, 0):  # without warm-up no guess but the start state is right
+        token_counts.WARM, held = warm, token_counts.WARM
+        try:
+            fresh = lambda: list(token_counts.maps_of(text, counts, 9))
+            maps = fresh()
+            whole = token_counts.prefix_scan(fresh(), counts.machine)[-1]
+            left = maps[0]
+            for m in maps[1:]:
+                left = left.then(m, counts.machine)
+            right = maps[-1]
+            for m in maps[-2::-1]:
+                right = m.then(right, counts.machine)
+        finally:
+            token_counts.WARM = held
+        assert len(maps) > 20
+        expected = (token_counts.START, len(bpe.load(PATH).encode(text)))
+        assert whole.to[token_counts.START] == left.to[token_counts.START] == right.to[token_counts.START] == expected
+
+
+def test_a_pretoken_of_millions_of_bytes(library):
+    text = "".join(random.Random(2).choice("abcdefgh") for _ in range(2_000_000))
+    assert token_counts.count_tokens(text, PATH) == len(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_queries(docs_of, awkward, library):

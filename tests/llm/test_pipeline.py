@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_exact_dedup import brute as exact
 from test_near_dedup import brute as near
 from test_quality import counts
@@ -78,3 +79,21 @@ def test_stages_on_odd_tables(spark, docs_of, awkward, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "bpe"]
     twice = docs_of([(4, "a b c d"), (4, "a b c d"), (9, "e f")])
     assert sorted(r["doc_id"] for r in corpus_pipeline.exact_stage(spark, twice, "").collect()) == [4, 9]
+
+
+def test_stages_with_clashing_names(spark, docs_of, long_corpus):
+    """Columns named like the operators' own, with dots and backticks, come through every stage."""
+    odd = ["row", "own", "gone", "gone_id", "own_id", "own_digest_", "a.b", "back`tick", "_q", "_h", "_host", "host_rate", "plan_source", "rank", "bin", "copy", "digest", "best"]
+    docs = docs_of(long_corpus[:30] + long_corpus[-1:] + [long_corpus[3]])
+    docs = docs.toDF(*["x_" + c if c in odd else c for c in docs.columns]).withColumns({c: F.lit(i) for i, c in enumerate(odd) if "`" not in c and "." not in c})
+    docs = docs.select("*", F.lit(1).alias("a.b"), F.lit(2).alias("back`tick"))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns and docs.count() > 0
+
+
+def test_the_longest_of_equal_texts_stays(spark, docs_of):
+    rows = [(7, "a b c"), (7, "a  b  c"), (3, "a b c"), (9, None), (8, "")]
+    left = corpus_pipeline.exact_stage(spark, docs_of(rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(7, "a  b  c"), (8, "")]
