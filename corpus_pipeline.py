@@ -12,46 +12,49 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandgraph.checkpoints import checkpoint_dir
 from strandgraph.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from strandgraph.llm.common import broadcast_if_small, cut, documents, ensure_checkpoint_dir
+from strandgraph.llm.common import broadcast_if_small, cut, discard, documents, row_of
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass their rules and whose host passes; rejected ones go."""
-    judged = quality.quality_rules(docs, keep=tuple(docs.columns))
-    return judged.where("kept").select("row.*")
+    """Documents that pass their rules and whose host passes; rejected ones go.
+
+    Null and empty texts fail; repeated rows are judged each; an empty table stays empty.
+    """
+    return quality.kept_rows(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat an id and its text are one document."""
-    digested = cut(exact_dedup.digests(docs))
-    verdicts = exact_dedup.group_exact(digested)
-    gone = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest")))
-    own = F.unhex(F.sha2(exact_dedup.squeezed(F.col("text")).cast("binary"), 256))
-    marked = docs.withColumn("own_digest_", own)
-    left = marked.join(broadcast_if_small(gone, 50_000), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("own_digest_") == F.col("gone_digest")), "left_anti")
-    repeated = digested.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        left = left.dropDuplicates(["doc_id", "own_digest_"])
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One document of each group of equal texts, the longest; rows that repeat an id and its text are one document.
+
+    Null texts equal empty ones; null ids lose ties; an empty table stays empty.
+    """
+    return exact_dedup.kept_rows(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies; rows without an id stay."""
+    """One document of each component of near copies.
+
+    Rows without an id and texts without a word stay; rows that repeat an id share its verdict; an empty table stays empty.
+    """
     verdicts = near_dedup.near_dedup(docs)
     gone = cut(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    whole = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("own_id"))
+    return whole.join(broadcast_if_small(gone), F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it doesn't take go."""
-    mixed = mixing.mix(docs, keep=tuple(docs.columns))
-    copies = F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))
-    return mixed.where("n_copies > 0").select("row", copies.alias("copy")).select("row.*")
+    """Each document as often as the mix takes it; documents that it doesn't take go.
+
+    Texts without a word have size 0 and are taken as often as whole copies of their source are;
+    repeated rows are documents of their own; null is a source; an empty table stays empty.
+    """
+    return mixing.taken_rows(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text of each row."""
+    """Token counts and digests of ids and decoded text of each row; null text is empty, repeated rows are encoded each."""
     return bpe.digest_documents(docs)
 
 
@@ -68,10 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``; a stage's input is deleted once its output is written."""
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
