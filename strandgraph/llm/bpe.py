@@ -25,8 +25,10 @@ from strandgraph.llm.common import documents, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of a worker's memo, about, and of its largest entry: longer units and pretokens aren't held.
-MEMO = 48 << 20
+MEMO = 80 << 20
 LARGEST = 1 << 10
+OVERHEAD = 200
+PLACE = (1 << 40) - 1
 UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space beyond ASCII (fixed values): such texts are cut by the full pattern at once.
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -57,10 +59,15 @@ class Bpe:
         vocab = held["model"]["vocab"]
         self.bytes_of: dict[int, bytes] = {i: bytes(map(raw.__getitem__, s)) for s, i in vocab.items()}
         self.single = [vocab[c] for c in byte_letters()]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # a pair is one number, left << 20 | right
+        self.rank: dict[int, int] = {}
+        self.pair: list[int] = []
+        self.merged: list[int] = []
         for rank, pair in enumerate(held["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.pair.append(vocab[a] << 20 | vocab[b])
+            self.merged.append(vocab[a + b])
+            self.rank.setdefault(self.pair[-1], rank)
         self.special = {x["content"]: x["id"] for x in held.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -69,35 +76,45 @@ class Bpe:
         self._library = None
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pretoken: the lowest-ranked adjacent pair first, leftmost among equals; entries that no longer match are skipped."""
-        ids = [self.single[b] for b in piece]
+        """Ids of one pretoken: the lowest-ranked adjacent pair first, leftmost among equals.
+
+        The queue holds ``rank << 40 | place``; an entry whose place no longer has that rank's pair is stale and skipped.
+        """
+        ids = list(map(self.single.__getitem__, piece))
         n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = self.merges
+        rank, pair, merged = self.rank.get, self.pair, self.merged
         queue = []
-        for i in range(n - 1):
-            hit = merges.get((ids[i], ids[i + 1]))
-            if hit:
-                queue.append((hit[0], i, hit[1], ids[i], ids[i + 1]))
+        left = ids[0] if n else 0
+        for i in range(1, n):
+            right = ids[i]
+            r = rank(left << 20 | right)
+            if r is not None:
+                queue.append(r << 40 | i - 1)
+            left = right
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, merged, left, right = heapq.heappop(queue)
+            x = pop(queue)
+            i, r = x & PLACE, x >> 40
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j >= n or ids[i] << 20 | ids[j] != pair[r]:
                 continue
-            ids[i], ids[j] = merged, -1
-            k = after[j]
-            after[i] = k
+            one = ids[i] = merged[r]
+            ids[j] = -1
+            k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                hit = merges.get((merged, ids[k]))
-                if hit:
-                    heapq.heappush(queue, (hit[0], i, hit[1], merged, ids[k]))
+                r = rank(one << 20 | ids[k])
+                if r is not None:
+                    push(queue, r << 40 | i)
             h = before[i]
             if h >= 0:
-                hit = merges.get((ids[h], merged))
-                if hit:
-                    heapq.heappush(queue, (hit[0], h, hit[1], ids[h], merged))
+                r = rank(ids[h] << 20 | one)
+                if r is not None:
+                    push(queue, r << 40 | h)
         return [x for x in ids if x >= 0]
 
     def pretokens(self, text: str) -> list[str]:
@@ -140,12 +157,12 @@ def load(path: str) -> Bpe:
 class Generations(dict):
     """A bounded memo: what was asked for lately stays when a new generation begins.
 
-    ``most`` is in bytes, by ``cost`` of an entry; two generations together hold no more.
+    An entry counts as ``OVERHEAD + 4 * len(key)`` bytes; two generations together hold ``most``.
     """
 
-    def __init__(self, make, cost, most: int = MEMO):
+    def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.cost, self.most = make, cost, most // 2
+        self.make, self.most = make, most // 2
         self.before: dict = {}
         self.size = 0
 
@@ -153,7 +170,7 @@ class Generations(dict):
         got = self.before.get(key)
         if got is None:
             got = self.make(key)
-        cost = self.cost(key, got)
+        cost = OVERHEAD + 4 * len(key)
         if cost <= LARGEST:
             if self.size + cost > self.most:
                 self.before, self.size = dict(self), 0
@@ -164,20 +181,18 @@ class Generations(dict):
 
 
 class Coder:
-    """Units to (",id,id...", bytes): encoded, then decoded by joining the vocabulary strings of those ids."""
+    """Units to ",id,id..."."""
 
     def __init__(self, bpe: Bpe, most: int = MEMO):
         self.bpe = bpe
-        held = lambda x, out: 300 + 2 * len(x) + sum(map(len, out))
-        self.pieces = Generations(lambda x: self.coded(bpe.merge(x.encode())), held, most // 2)
-        self.units = Generations(self.unit, held, most)
-
-    def coded(self, ids: list[int]) -> tuple[str, bytes]:
-        return "".join(f",{i}" for i in ids), b"".join(map(self.bpe.bytes_of.__getitem__, ids))
+        merge, name = bpe.merge, [f",{i}" for i in range(max(bpe.bytes_of, default=-1) + 1)].__getitem__
+        self.pieces = Generations(lambda x: "".join(map(name, merge(x.encode()))), most // 2)
+        held, cut = self.pieces.__getitem__, bpe.pretokens
+        self.units = Generations(lambda unit: "".join(map(held, cut(unit))), most)
 
-    def unit(self, text: str) -> tuple[str, bytes]:
-        both = [self.pieces[x] for x in self.bpe.pretokens(text)]
-        return "".join([x[0] for x in both]), b"".join([x[1] for x in both])
+    def decode(self, ids: str) -> bytes:
+        """The vocabulary strings of ",id,id...", one after another."""
+        return b"".join(map(self.bpe.bytes_of.__getitem__, map(int, ids[1:].split(",")))) if ids else b""
 
 
 @lru_cache(maxsize=4)
@@ -189,13 +204,14 @@ def coder(path: str) -> Coder:
 def round_trip(text: str | None, path: str) -> tuple[str, bytes]:
     """Ids as ",id,id..." and the bytes that decoding them gives."""
     c = coder(path)
-    both: list[tuple[str, bytes]] = []
+    found: list[str] = []
     for k, part in enumerate(c.bpe.segments(text or "")):
         if k % 2:
-            both.append(c.coded([c.bpe.special[part]]))
+            found.append(f",{c.bpe.special[part]}")
         else:
-            both += map(c.units.__getitem__, c.bpe.units(part))
-    return "".join([x[0] for x in both]), b"".join([x[1] for x in both])
+            found += map(c.units.__getitem__, c.bpe.units(part))
+    ids = "".join(found)
+    return ids, c.decode(ids)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

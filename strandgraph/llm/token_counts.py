@@ -131,10 +131,10 @@ class Counts(Generations):
     """unit -> tokens of a short unit, with a memo of its pretokens below."""
 
     def __init__(self, machine: Transducer, most: int = MEMO):
-        held = lambda x, n: 120 + 2 * len(x)
-        super().__init__(lambda unit: sum(map(self.pieces.__getitem__, machine.bpe.pretokens(unit))), held, most)
+        self.pieces = Generations(lambda x: machine.run(START, x.encode())[1], most // 2)
+        held, cut = self.pieces.__getitem__, machine.bpe.pretokens
+        super().__init__(lambda unit: sum(map(held, cut(unit))), most)
         self.machine = machine
-        self.pieces = Generations(lambda x: machine.run(START, x.encode())[1], held, most // 2)
 
 
 @dataclass

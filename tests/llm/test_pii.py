@@ -57,5 +57,14 @@ def test_words_without_digits_and_new_patterns(docs_of):
     assert got[400] == "" and got[401] == "email:9:15,email:26:27"
 
 
+def test_words_after_and_long_texts(docs_of):
+    rows = [(i, f"u{i}@mail.org (email) and words") for i in range(30)] + [(100, "see x7[at]mail (email) please")]
+    rows += [(200, "word " * 50_000 + "x9[at]mail (email)"), (201, "12 " * 200_000 + "a@b.co"), (202, "w" * 1_000_000 + " a@b.co")]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs_of(rows)).collect()}
+    assert got[100]["spans"] == "email:4:14" and got[200]["spans"] == "email:250000:260000".replace("260000", "250010")
+    assert got[201]["spans"] == "email:600000:600006" and got[202]["spans"] == "email:1000001:1000007"
+    assert got[5]["spans"] == joined(spans(rows[5][1]))
+
+
 def test_empty(docs_of):
     assert pii.personal_data(docs_of([])).count() == 0
