@@ -240,15 +240,14 @@ def dropped_lines(docs: DataFrame, scanned: DataFrame, similarity: float = SIMIL
     """(doc_id, text_hash, line_no) of lines that go; ``scanned`` is what ``scan`` gives, written."""
     every = scanned.where("line_no >= 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", "line_no", "leaf", "line_hash")
     where = F.struct("doc_id", "line_no", "text_hash")
-    distinct = cut(every.groupBy("leaf", "line_hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    distinct = cut(every.groupBy("leaf", "line_hash").agg(F.min(where).alias("first"), F.max("doc_id").alias("hi")))
     several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     moved = cut(templates(gather(docs, leaf_bits(several)), similarity, leaf_size))
     named = distinct.join(moved, ["leaf", "line_hash"], "left").withColumn("template", F.coalesce("template", "line_hash"))
-    again = named.groupBy("leaf", "template").agg(F.min("lo").alias("first_doc"), F.max("hi").alias("last_doc")).where("first_doc <> last_doc")
-    recurring = cut(named.join(again, ["leaf", "template"]).select("leaf", "line_hash", "template", "first_doc"))
-    hits = cut(every.join(broadcast_if_small(recurring), ["leaf", "line_hash"]))
-    stay = hits.where("doc_id = first_doc").groupBy("leaf", "template").agg(F.min(where).alias("stay"))
-    return hits.join(stay, ["leaf", "template"]).where(where != F.col("stay")).select("doc_id", "text_hash", "line_no").distinct()
+    # the line that stays goes along with each of its template's lines, so lines meet their template in one join
+    again = named.groupBy("leaf", "template").agg(F.min("first").alias("stay"), F.max("hi").alias("last_doc")).where("stay.doc_id <> last_doc")
+    recurring = cut(named.join(again, ["leaf", "template"]).select("leaf", "line_hash", "stay"))
+    return every.join(broadcast_if_small(recurring), ["leaf", "line_hash"]).where(where != F.col("stay")).select("doc_id", "text_hash", "line_no").distinct()
 
 
 def line_verdicts(docs: DataFrame, similarity: float = SIMILARITY, leaf_size: int = LEAF, least: int = MIN_TOKENS) -> DataFrame:

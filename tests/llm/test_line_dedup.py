@@ -1,3 +1,6 @@
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
 
 from strandgraph.llm import line_dedup
@@ -38,6 +41,52 @@ def test_lines_of_texts():
     assert len(line_dedup.Lines([b"", b" "]).n) == 0
 
 
+def brute(rows, least=1):
+    """Verdicts by a plain tree: (doc_id, n_lines, dropped)."""
+    found, copies, order = [], Counter(), {}
+    for d, t in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            words = line.encode().split()
+            if not words:
+                continue
+            tokens = tuple(None if any(48 <= c <= 57 for c in w) else w for w in words)
+            if len(words) < 5 and not any(tokens):
+                tokens = tuple(words)
+            found.append((d, no, tokens))
+            copies[tokens] += 1
+            order[tokens] = int(line_dedup.Lines([line.encode()]).hash.view(np.int64)[0])
+    leaves = defaultdict(list)
+    for tokens in sorted(copies, key=lambda x: (-copies[x], order[x])):
+        leaves[len(tokens), tokens[:3] if len(tokens) >= 5 else tokens].append(tokens)
+    template = {}
+    for lines in leaves.values():
+        held = []  # [first line, tokens with variable places]
+        for tokens in lines:
+            for one in held:
+                if sum(a == b for a, b in zip(one[1], tokens, strict=True)) >= 0.75 * len(tokens):
+                    one[1] = [a if a == b else None for a, b in zip(one[1], tokens, strict=True)]
+                    break
+            else:
+                one = [tokens, list(tokens)]
+                held.append(one)
+            template[tokens] = one[0]
+    places = defaultdict(list)
+    for d, no, tokens in found:
+        places[template[tokens]].append((d, no))
+    gone = {p for x in places.values() if len({d for d, _ in x}) > 1 for p in x if p != min(x)}
+    return sorted((d, sum(x[0] == d for x in found), ",".join(str(no) for no in sorted(no for e, no in gone if e == d))) for d, _ in rows)
+
+
+def test_like_a_plain_tree(spark, docs_of, tmp_path):
+    r = random.Random(5)
+    words = ["a", "b", "c", "d", "7", "x1", "E"]
+    lines = [" ".join(r.choice(words) for _ in range(r.choice([1, 2, 3, 5, 5, 6, 8, 9]))) for _ in range(150)] + [LINE.format(x) for x in (1, "two", 3)] + ["", " "]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(8)))) for i in range(150)] + [(900, None)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((x["doc_id"], x["n_lines"], x["dropped"]) for x in got) == brute(rows) and sum(x["n_dropped"] for x in got) > 100
+
+
 def test_split_leaves_still_find_copies(docs_of):
     rows = [(i, f"same first three words w{'abcdefghij'[i % 10]} then more of the same {i // 10}") for i in range(60)]
     got = line_dedup.line_verdicts(docs_of(rows), leaf_size=2).collect()
