@@ -16,6 +16,8 @@ class Graph:
 
     edges: DataFrame
     vertices: DataFrame
+    #: Whether ``written`` has made it.
+    is_written: bool = False
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
@@ -43,5 +45,7 @@ class Graph:
         return Graph(self.edges, spark.range(0 if top is None else top + 1))
 
     def written(self) -> Graph:
-        """Edges hashed by source and vertices by id, both written once: loops join them without another shuffle."""
-        return Graph(cut(self.edges.repartition("src")), cut(self.vertices.repartition("id")))
+        """Edges hashed and sorted by source and vertices by id, both written once: loops join them without another shuffle or sort."""
+        if self.is_written:
+            return self
+        return Graph(cut(self.edges.repartition("src").sortWithinPartitions("src")), cut(self.vertices.repartition("id").sortWithinPartitions("id")), True)

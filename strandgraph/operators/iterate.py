@@ -44,11 +44,13 @@ def iterate(
     region: DataFrame | None = None,
     edge_bytes: int = 4,
     measured: bool = False,
+    sparse: bool = False,
 ) -> Run:
     """Run ``state`` (keys..., id, value, active) to its fixpoint over ``edges`` (src, dst, weight).
 
     ``message`` makes a candidate from a value and a weight, ``combine`` one of a
-    target's candidates, ``improves`` decides.  ``keys`` separate independent runs in one loop.  With
+    target's candidates, ``improves`` decides.  ``keys`` separate independent runs in one loop.  A ``sparse``
+    state holds only what has a value and grows as the frontier goes on.  With
     ``measured`` each round is cut and measured; ``region`` is (id, degree, is_static).
     """
     run, done = Run(cut(state)), 0
@@ -67,7 +69,7 @@ def iterate(
             front = now.where("active").select(*keys, F.col("id").alias("src"), F.col("value").alias("from"))
             sent = front.join(edges, "src").select(*keys, F.col("dst").alias("id"), message(F.col("from"), F.col("weight")).alias("m"))
             best = sent.groupBy(*by).agg(combine(F.col("m")).alias("m"))
-            joined = now.join(best, by, "left")
+            joined = now.join(best, by, "full_outer" if sparse else "left")
             better = F.col("m").isNotNull() & improves(F.col("m"), F.col("value"))
             now = joined.select(*by, F.when(better, F.col("m")).otherwise(F.col("value")).alias("value"), F.coalesce(better, F.lit(False)).alias("active"))
         run.state = cut(now)

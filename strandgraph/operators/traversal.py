@@ -64,12 +64,10 @@ def bfs_multi_source(g: Graph, sources: Sequence[int]) -> DataFrame:
     """
     spark = g.vertices.sparkSession
     g = g.written()
-    seeds = spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], "source long")  # as many rows as sources
-    all_pairs = g.vertices.crossJoin(F.broadcast(seeds))
-    start = F.col("id") == F.col("source")
-    state = all_pairs.select("source", "id", F.when(start, F.lit(1).cast("long")).alias("value"), start.alias("active"))
-    done = iterate(state, g.edges, lambda value, _: value + 1, keys=("source",), algo="bfs").state
-    return done.where("value IS NOT NULL").select("source", "id", F.col("value").alias("level"))
+    seeds = spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], "id long").join(g.vertices, "id", "left_semi")  # as many rows as sources
+    state = seeds.select(F.col("id").alias("source"), "id", F.lit(1).cast("long").alias("value"), F.lit(True).alias("active"))
+    done = iterate(state, g.edges, lambda value, _: value + 1, keys=("source",), algo="bfs", sparse=True).state
+    return done.select("source", "id", F.col("value").alias("level"))
 
 
 def with_sentinel(values: DataFrame, column: str, sentinel: int) -> DataFrame:

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandgraph.checkpoints import checkpoint_dir
 from strandgraph.functions import degrees as dg
 from strandgraph.functions import frontier as fr
 from strandgraph.functions.scans import compact, prefix_sum
 from strandgraph.graph import Graph
 from strandgraph.operators import accounting, traversal
 from strandgraph.operators.pagerank import pagerank
-from strandgraph.plans.memory import plan_static_region
+from strandgraph.plans.memory import max_subgraph_edges, plan_static_region
 from strandgraph.plans.partition import bisected_plan, greedy_plan
-from strandgraph.sources.csr import Layout, read_csr, write_csr
+from strandgraph.sources.csr import Layout, bel_summary, read_csr, widen, write_bel, write_csr
 from strandgraph.sources.tables import customer_part, supplier_part, user_transitions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +85,12 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.bfs(g, _source(g))
 
 
-def _deep_levels(spark: SparkSession, sf_dir: str, least: int | None = 50) -> DataFrame:
-    g = customer_part(spark, sf_dir, least).written()
+def _cp(spark: SparkSession, sf_dir: str) -> Graph:
+    return customer_part(spark, sf_dir, None).written()
+
+
+def _orders_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _cp(spark, sf_dir)
     return traversal.bfs(g, _source(g)).where("level IS NOT NULL")
 
 
@@ -95,8 +99,8 @@ def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.sssp(g, _source(g))
 
 
-def _sentinel(spark: SparkSession, sf_dir: str, least: int | None = 50) -> DataFrame:
-    g = customer_part(spark, sf_dir, least).written()
+def _sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _cp(spark, sf_dir)
     return traversal.with_sentinel(traversal.bfs(g, _source(g)), "level", g.vertices.count() + 1)
 
 
@@ -106,8 +110,8 @@ def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversal.bfs_multi_source(g, sources)
 
 
-def _labels(spark: SparkSession, sf_dir: str, least: int | None = 50) -> DataFrame:
-    return traversal.cc(customer_part(spark, sf_dir, least))
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.cc(_cp(spark, sf_dir))
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +124,11 @@ def _transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.data_transport(traversal.bfs_run(g, _source(g), measured=True))
 
 
+def _sssp_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _sp(spark, sf_dir)
+    return accounting.data_transport(traversal.sssp_run(g, _source(g), measured=True))
+
+
 def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _sp(spark, sf_dir)
     run = traversal.bfs_run(g, _source(g), measured=True, cap=_cap(g))
@@ -142,21 +151,60 @@ def _ranks(**options) -> Query:
     return query
 
 
-def _rank_sizes(spark: SparkSession, sf_dir: str, max_rounds: int | None = ROUNDS) -> DataFrame:
+def _rank_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes: list[tuple[int, int, int]] = []
-    pagerank(supplier_part(spark, sf_dir), max_rounds=max_rounds, sizes=sizes)
+    pagerank(supplier_part(spark, sf_dir), sizes=sizes)
     return spark.createDataFrame(sizes, "iteration int, active_vertices long, newly_frozen long")
 
 
+def _file(spark: SparkSession, name: str = "graph.csr") -> str:
+    """A new file's place in the folder that the driver and all executors share."""
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}-{name}"
+
+
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges as they are read back from a weighted CSR file in the driver's temporary folder."""
-    path = os.path.join(tempfile.mkdtemp(prefix="csr-"), "graph.csr")
+    """Edges as they are read back from a weighted CSR file."""
+    path = _file(spark)
     write_csr(_sp(spark, sf_dir), path, Layout(weighted=True))
     return read_csr(spark, path, Layout(weighted=True)).edges
 
 
+def _plain_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark)
+    write_csr(user_transitions(spark, sf_dir), path)
+    return read_csr(spark, path).edges.select("src", "dst")
+
+
+def _widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a file with 4-byte header and pointers, after it is rewritten with 8-byte edges."""
+    path = _file(spark, "old.bcsr")
+    write_csr(user_transitions(spark, sf_dir), path, Layout(header=4))
+    return read_csr(spark, widen(path), Layout(header=4, edge_width=8)).edges.select("src", "dst")
+
+
+def _bel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the three files hold: their two leading numbers and the sum of what follows."""
+    names = write_bel(user_transitions(spark, sf_dir), _file(spark, "graph"))
+    return spark.createDataFrame([(name.rpartition(".")[2], *bel_summary(name)) for name in names], "file string, size long, zero long, total long")
+
+
+def _first_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(dg.first_big_node(_sp(spark, sf_dir), BIG),)], "node long")
+
+
+def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per algorithm the edges that fit beside the graph's vertices, and those of a sub-graph processed at once."""
+    g = _sp(spark, sf_dir).dense()
+    n, e = g.vertices.count(), g.edges.count()
+    rows = []
+    for algo in ("bfs", "cc", "sssp", "pagerank"):
+        plan = plan_static_region(algo, n, e, available=64 * n + 8 * (e // 3))
+        rows.append((algo, plan.total_edges_that_fit, plan.cap, max_subgraph_edges(algo, n)))
+    return spark.createDataFrame(rows, "algo string, fitting long, cap long, max_subgraph long")
+
+
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(tempfile.mkdtemp(prefix="csr-"), "graph.csr")
+    path = _file(spark)
     layout = Layout(out_degree=True, incoming=True)
     write_csr(user_transitions(spark, sf_dir), path, layout)
     return dg.in_degrees(read_csr(spark, path, layout))
@@ -165,14 +213,11 @@ def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "bfs_levels": _levels,
-        "bfs_levels_deep": _deep_levels,
+        "bfs_levels_orders": _orders_levels,
         "bfs_reached": lambda s, d: traversal.reached_count(_levels(s, d), "level"),
         "bfs_frontier_sizes": lambda s, d: traversal.frontier_sizes(_levels(s, d)),
         "bfs_multi_source": _multi,
         "bfs_hybrid_sentinel": _sentinel,
-        # those named _all have no SQL: they run over the whole tables and to the end, the ones without it over orders of 50 pieces or for ROUNDS rounds
-        "bfs_levels_deep_all": lambda s, d: _deep_levels(s, d, None),
-        "bfs_hybrid_sentinel_all": lambda s, d: _sentinel(s, d, None),
         "bfs_metrics": _metrics,
         "sssp_distances": _distances,
         "sssp_reached": lambda s, d: traversal.reached_count(_distances(s, d), "distance"),
@@ -182,15 +227,11 @@ def queries() -> dict[str, Query]:
         "cc_labels_directed": lambda s, d: traversal.cc(user_transitions(s, d)),
         "cc_count": lambda s, d: traversal.component_count(_labels(s, d)),
         "cc_sizes": lambda s, d: traversal.component_sizes(_labels(s, d)),
-        "cc_labels_all": lambda s, d: _labels(s, d, None),
-        "cc_count_all": lambda s, d: traversal.component_count(_labels(s, d, None)),
-        "cc_sizes_all": lambda s, d: traversal.component_sizes(_labels(s, d, None)),
         "cc_metrics": _cc_metrics,
         "pagerank_hold_k": _ranks(max_rounds=ROUNDS),
         "pagerank_commit_k": _ranks(max_rounds=ROUNDS, init="1/V", freeze="commit"),
         "pagerank_host_k": _ranks(max_rounds=ROUNDS, init="1/V", freeze="commit", damping=0.15),
         "pagerank_frontier_sizes": _rank_sizes,
-        "pagerank_frontier_sizes_all": lambda s, d: _rank_sizes(s, d, None),
         "pagerank_hold": _ranks(),
         "pagerank_commit": _ranks(init="1/V", freeze="commit"),
         "out_degree": lambda s, d: dg.out_degrees(_sp(s, d)),
@@ -216,8 +257,14 @@ def queries() -> dict[str, Query]:
         "partition_plan_greedy": lambda s, d: greedy_plan(_active(g := _sp(s, d)), _plan_cap(g)),
         "partition_plan_bisect": lambda s, d: bisected_plan(_active(g := _sp(s, d)), _plan_cap(g)),
         "data_transport": _transport,
+        "sssp_data_transport": _sssp_transport,
         "edges_moved": _moved,
         "csr_round_trip": _round_trip,
+        "csr_plain_round_trip": _plain_trip,
+        "csr_widened": _widened,
+        "bel_export": _bel,
+        "first_big_node": _first_big,
+        "region_budgets": _budgets,
         "csr_incoming_round_trip": _incoming,
     }
 
@@ -228,7 +275,7 @@ _SP = """
 e AS (SELECT CAST(l_suppkey * 2 + 1 AS BIGINT) AS src, CAST(l_partkey * 2 AS BIGINT) AS dst, CAST(min(l_quantity) AS BIGINT) AS weight FROM lineitem GROUP BY 1, 2)"""
 _CP = """
 e AS (SELECT CAST(o_custkey * 2 + 1 AS BIGINT) AS src, CAST(l_partkey * 2 AS BIGINT) AS dst, CAST(min(l_quantity) AS BIGINT) AS weight
-      FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 GROUP BY 1, 2)"""
+      FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"""
 _UT = """
 s AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events),
 u AS (SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, count(*) AS weight FROM s WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2),
@@ -275,6 +322,49 @@ def _rank_sql(init: str, damping: float, commit: bool, result: str = f"SELECT id
     return f"WITH {_SP}{_SYM}{_DEG},\n" + ",\n".join(steps) + f"\n{result}"
 
 
+def _fixpoint_sql(init: str, commit: bool, result: str = " SELECT id, round(rank, 4) AS rank FROM r WHERE i = (SELECT max(i) FROM r)") -> str:
+    """All rounds r(i, id, rank, active) until no vertex is active."""
+    on = "p.active AND NOT abs(n.new - p.rank) < 0.001" if commit else "p.active AND abs(n.new - p.rank) > 0.001"
+    value = "CASE WHEN p.active THEN n.new ELSE p.rank END" if commit else f"CASE WHEN {on} THEN n.new ELSE p.rank END"
+    return f"""WITH RECURSIVE{_SP}{_SYM}{_DEG},
+r(i, id, rank, active) AS (SELECT CAST(0 AS INTEGER), id, CAST({init} AS DOUBLE), true FROM v UNION ALL
+  SELECT p.i + 1, p.id, {value}, {on} FROM r AS p JOIN (
+    SELECT u.dst AS id, 0.15::DOUBLE + 0.85::DOUBLE * sum(q.rank / d.deg) AS new FROM r AS q JOIN u ON u.src = q.id JOIN d ON d.id = u.src GROUP BY u.dst) AS n ON n.id = p.id
+  WHERE EXISTS (SELECT 1 FROM r WHERE active))
+{result}""".replace("\n,", ",")
+
+
+def _rounds_sql(algo: str, init: str, step: str, width: int, result: str | None = None) -> str:
+    """All rounds r(i, id, x, active) of a minimum's way to its fixpoint, and a row for each frontier."""
+    result = result or f"'{algo}' AS algo, iteration, active_vertices, active_edges, CAST(0 AS BIGINT) AS static_vertices, active_vertices AS ondemand_vertices, active_edges * {width} AS bytes_moved"
+    return f"""WITH RECURSIVE{_SP}{_SYM}{_DEG}{_ROOT},
+r(i, id, x, active) AS (SELECT CAST(0 AS INTEGER), id, x, x IS NOT NULL FROM (SELECT id, CAST({init} AS BIGINT) AS x FROM v) UNION ALL
+  SELECT p.i + 1, p.id, CASE WHEN n.m IS NOT NULL AND (p.x IS NULL OR n.m < p.x) THEN n.m ELSE p.x END, n.m IS NOT NULL AND (p.x IS NULL OR n.m < p.x)
+  FROM r AS p LEFT JOIN (SELECT u.dst AS id, min({step}) AS m FROM r JOIN u ON u.src = r.id WHERE r.active GROUP BY u.dst) AS n ON n.id = p.id
+  WHERE EXISTS (SELECT 1 FROM r WHERE active)),
+f AS (SELECT r.i AS iteration, count(*) AS active_vertices, CAST(sum(d.deg) AS BIGINT) AS active_edges FROM r JOIN d ON d.id = r.id WHERE r.active GROUP BY r.i)
+SELECT {result} FROM f"""
+
+
+#: One halving a step; a row with an ``until`` is a partition that has come out.
+_BISECT = f"""WITH RECURSIVE{_SP}{_SYM}{_DEG}{_ACTIVE},
+z AS MATERIALIZED (SELECT (SELECT greatest(count(*) // 20, 1) FROM u) AS cap, (SELECT count(*) FROM a) AS n, (SELECT CAST(sum(deg) AS BIGINT) FROM a) AS total),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS i, CAST(sum(deg) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM a),
+s(part, start, base, lo, hi, found, refine, until, edges) AS (
+  SELECT CAST(0 AS INTEGER), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), n, CAST(NULL AS BIGINT), CAST(10 AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM z UNION ALL
+  SELECT CASE WHEN t.until IS NULL THEN t.part ELSE t.part + 1 END, CASE WHEN t.until IS NULL THEN t.start ELSE t.until END, CASE WHEN t.until IS NULL THEN t.base ELSE t.base + t.edges END,
+         CASE WHEN t.until IS NULL THEN t.lo ELSE t.until END, CASE WHEN t.until IS NULL THEN t.hi ELSE t.n END, CASE WHEN t.until IS NULL THEN t.found END,
+         CASE WHEN t.until IS NULL THEN t.refine ELSE CAST(10 AS INTEGER) END, t.until, t.edges
+  FROM (SELECT k.part, k.start, k.base, k.n, k.halves, CASE WHEN k.halves AND k.fits THEN k.mid ELSE k.lo END AS lo, CASE WHEN k.halves AND NOT k.fits THEN k.mid ELSE k.hi END AS hi,
+               CASE WHEN k.halves AND k.fits THEN k.mid ELSE k.found END AS found, CASE WHEN k.halves AND k.found IS NOT NULL THEN k.refine - 1 ELSE k.refine END AS refine,
+               CASE WHEN NOT k.halves THEN k.stop END AS until, CASE WHEN NOT k.halves THEN e.upto - k.base END AS edges
+        FROM (SELECT s.*, z.n, (s.lo + s.hi) // 2 AS mid, m.upto - s.base <= z.cap AS fits, z.total - s.base > z.cap AND s.hi - s.lo > 1 AND (s.found IS NULL OR s.refine > 0) AS halves,
+                     CASE WHEN z.total - s.base <= z.cap THEN z.n ELSE coalesce(s.found, s.start + 1) END AS stop
+              FROM s, z LEFT JOIN p AS m ON m.i = (s.lo + s.hi) // 2 WHERE s.start < z.n) AS k
+        LEFT JOIN p AS e ON e.i = k.stop) AS t)
+SELECT CAST(part - 1 AS INTEGER) AS part, start - n_vertices AS start_index, n_vertices, edges AS n_edges, base - edges AS from_edge
+FROM (SELECT part, start, base, edges, until - lag(until, 1, 0) OVER (ORDER BY until) AS n_vertices FROM s WHERE until IS NOT NULL)"""
+
 _ROUNDS = """,
 f AS (SELECT CAST(x - 1 AS INTEGER) AS iteration, count(*) AS n, CAST(sum(region.deg) AS BIGINT) AS e, count(*) FILTER (is_static) AS s,
              CAST(coalesce(sum(region.deg) FILTER (NOT is_static), 0) AS BIGINT) AS o FROM x JOIN region ON region.id = x.id GROUP BY 1)"""
@@ -290,7 +380,7 @@ def oracle_sql() -> dict[str, str]:
     active, dense = f"{degree}{_ACTIVE}", f"{degree}{_DENSE}"
     return {
         "bfs_levels": f"{_LEVELS} SELECT v.id, x.x AS level FROM v LEFT JOIN x ON x.id = v.id",
-        "bfs_levels_deep": f"{_DEEP} SELECT id, x AS level FROM x",
+        "bfs_levels_orders": f"{_DEEP} SELECT id, x AS level FROM x",
         "bfs_reached": f"{_LEVELS} SELECT count(*) AS reached FROM x",
         "bfs_frontier_sizes": f"{_LEVELS} SELECT CAST(x - 1 AS INTEGER) AS iteration, count(*) AS active_vertices FROM x GROUP BY 1",
         "bfs_multi_source": f"""WITH RECURSIVE{_SP}{_SYM}{_DEG},
@@ -314,7 +404,22 @@ SELECT id, x AS label FROM x""",
         "pagerank_hold_k": _rank_sql("1", 0.85, False),
         "pagerank_commit_k": _rank_sql("1.0::DOUBLE / (SELECT count(*) FROM v)", 0.85, True),
         "pagerank_host_k": _rank_sql("1.0::DOUBLE / (SELECT count(*) FROM v)", 0.15, True),
-        "pagerank_frontier_sizes": _rank_sql("1", 0.85, False, " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS iteration, (SELECT count(*) FILTER (active) FROM r{i}) AS active_vertices, (SELECT count(*) FILTER (active) FROM r{i}) - (SELECT count(*) FILTER (active) FROM r{i + 1}) AS newly_frozen" for i in range(ROUNDS))),
+        "pagerank_frontier_sizes": _fixpoint_sql("1", False, """, n AS (SELECT i, count(*) FILTER (active) AS n FROM r GROUP BY i)
+SELECT a.i AS iteration, a.n AS active_vertices, a.n - b.n AS newly_frozen FROM n AS a JOIN n AS b ON b.i = a.i + 1"""),
+        "pagerank_hold": _fixpoint_sql("1", False),
+        "pagerank_commit": _fixpoint_sql("1.0::DOUBLE / (SELECT count(*) FROM v)", True),
+        "sssp_metrics": _rounds_sql("sssp", "CASE WHEN id = (SELECT id FROM root) THEN 1 END", "r.x + u.weight", 8),
+        "cc_metrics": _rounds_sql("cc", "id", "r.x", 4),
+        "sssp_data_transport": _rounds_sql("sssp", "CASE WHEN id = (SELECT id FROM root) THEN 1 END", "r.x + u.weight", 8, "CAST(sum(active_edges * 8 + active_vertices * 4) AS BIGINT) AS data_transport"),
+        "partition_plan_bisect": _BISECT,
+        "csr_plain_round_trip": f"WITH {_UT} SELECT src, dst FROM u",
+        "csr_widened": f"WITH {_UT} SELECT src, dst FROM u",
+        "bel_export": f"""WITH {_UT}, w AS (SELECT range AS id FROM range((SELECT max(id) + 1 FROM v))),
+c AS (SELECT id, CAST(coalesce(sum(deg) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr
+      FROM (SELECT w.id, count(u.src) AS deg FROM w LEFT JOIN u ON u.src = w.id GROUP BY w.id))
+SELECT 'col' AS file, count(*) AS size, CAST(0 AS BIGINT) AS zero, CAST(sum(ptr) AS BIGINT) AS total FROM c
+UNION ALL SELECT 'dst', count(*), 0, CAST(sum(dst) AS BIGINT) FROM u UNION ALL SELECT 'val', count(*), 0, CAST(sum(weight) AS BIGINT) FROM u""",
+        "first_big_node": f"{degree} SELECT min(id) AS node FROM d WHERE deg > {BIG} AND id < (SELECT max(id) FROM v)",
         "out_degree": f"{degree} SELECT id, deg AS out_degree FROM d",
         "in_degree": f"WITH {_UT} SELECT v.id, count(u.dst) AS in_degree FROM v LEFT JOIN u ON u.dst = v.id GROUP BY v.id",
         "csr_degree": f"{dense} SELECT id, deg AS degree FROM c",

@@ -50,9 +50,33 @@ class Layout:
         return self.starts(n)[1] + e * self.edge_type.itemsize
 
 
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and its name there."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+class _Out:
+    """A file to write, wherever it is."""
+
+    def __init__(self, path: str):
+        where, name = _place(path)
+        self.file = where.open_output_stream(name)
+
+    def __enter__(self) -> _Out:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+    def put(self, values: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(values).tobytes())
+
+
 class _File:
     def __init__(self, path: str):
-        where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+        where, name = _place(path)
         self.size = where.get_file_info(name).size
         if self.size is None:
             raise FileNotFoundError(path)
@@ -179,19 +203,19 @@ def write_csr(g: Graph, path: str, layout: Layout | None = None) -> None:
     by = Graph(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), g.vertices) if layout.incoming else g
     rows = cut(csr(by))
     n, e = rows.count(), g.edges.count()
-    with open(path, "wb") as f:
-        np.array([n, e], f"<u{layout.header}").tofile(f)
+    with _Out(path) as f:
+        f.put(np.array([n, e], f"<u{layout.header}"))
         if layout.out_degree:
             for _, degree in _stream(csr(g).orderBy("id"), ["id", "degree"]):
-                degree.astype("<u4").tofile(f)
+                f.put(degree.astype("<u4"))
         for _, ptr in _stream(rows.orderBy("id"), ["id", "ptr"]):
-            ptr.astype(f"<u{layout.header}").tofile(f)
+            f.put(ptr.astype(f"<u{layout.header}"))
         for _, dst, weight in _stream(by.edges.orderBy("src", "dst", "weight"), ["src", "dst", "weight"]):
             out = np.empty(len(dst), layout.edge_type)
             out["v"] = dst
             if layout.weighted:
                 out["w"] = weight
-            out.tofile(f)
+            f.put(out)
 
 
 def widen(path: str) -> str:
@@ -200,10 +224,10 @@ def widen(path: str) -> str:
     n, e = read_header(path, old)
     f, (_, edges) = _File(path), old.starts(n)
     out = f"{path[:-4]}lcsr"
-    with open(out, "wb") as w:
-        f.read(0, "u1", edges).tofile(w)
+    with _Out(out) as w:
+        w.put(f.read(0, "u1", edges))
         for a in range(0, e, 1 << 20):
-            f.read(edges + 4 * a, "<u4", min(1 << 20, e - a)).astype(new.edge_type["v"]).tofile(w)
+            w.put(f.read(edges + 4 * a, "<u4", min(1 << 20, e - a)).astype(new.edge_type["v"]))
     return out
 
 
@@ -213,12 +237,20 @@ def write_bel(g: Graph, prefix: str) -> list[str]:
     rows = cut(csr(g))
     n, e = rows.count(), g.edges.count()
     names = [f"{prefix}.bel.{x}" for x in ("col", "dst", "val")]
-    with open(names[0], "wb") as col, open(names[1], "wb") as dst, open(names[2], "wb") as val:
+    with _Out(names[0]) as col, _Out(names[1]) as dst, _Out(names[2]) as val:
         for f, size in ((col, n), (dst, e), (val, e)):
-            np.array([size, 0], "<u8").tofile(f)
+            f.put(np.array([size, 0], "<u8"))
         for _, ptr in _stream(rows.orderBy("id"), ["id", "ptr"]):
-            ptr.astype("<u8").tofile(col)
+            col.put(ptr.astype("<u8"))
         for _, to, weight in _stream(g.edges.orderBy("src", "dst", "weight"), ["src", "dst", "weight"]):
-            to.astype("<u8").tofile(dst)
-            weight.astype("<u4").tofile(val)
+            dst.put(to.astype("<u8"))
+            val.put(weight.astype("<u4"))
     return names
+
+
+def bel_summary(path: str) -> tuple[int, int, int]:
+    """The two leading numbers of one of the files of ``write_bel`` and the sum of the others, a block at a time."""
+    f, width = _File(path), "<u4" if path.endswith(".val") else "<u8"
+    size, zero = (int(x) for x in f.read(0, "<u8", 2))
+    step = 1 << 20
+    return size, zero, sum(int(f.read(16 + int(width[2]) * a, width, min(step, size - a)).sum(dtype=np.uint64)) for a in range(0, size, step))

@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force."""
+"""Queries over whole tables against brute force."""
 
 from collections import Counter, defaultdict, deque
 
@@ -44,15 +44,15 @@ def test_components_of_all_orders(spark, orders):
     for x in sorted(orders):
         if x not in label:
             label |= dict.fromkeys(reach(orders, x), x)
-    assert {r["id"]: r["label"] for r in run(spark, "cc_labels_all").collect()} == label
-    assert run(spark, "cc_count_all").first()["components"] == len(set(label.values()))
-    assert {r["label"]: r["size"] for r in run(spark, "cc_sizes_all").collect()} == Counter(label.values())
+    assert {r["id"]: r["label"] for r in run(spark, "cc_labels").collect()} == label
+    assert run(spark, "cc_count").first()["components"] == len(set(label.values()))
+    assert {r["label"]: r["size"] for r in run(spark, "cc_sizes").collect()} == Counter(label.values())
 
 
 def test_levels_of_all_orders(spark, orders):
     level = reach(orders, min(orders, key=lambda x: (-len(orders[x]), x)))
-    assert {r["id"]: r["level"] for r in run(spark, "bfs_levels_deep_all").collect()} == level
-    assert {r["id"]: r["level"] for r in run(spark, "bfs_hybrid_sentinel_all").collect()} == {x: level.get(x, len(orders) + 1) for x in orders}
+    assert {r["id"]: r["level"] for r in run(spark, "bfs_levels_orders").collect()} == level
+    assert {r["id"]: r["level"] for r in run(spark, "bfs_hybrid_sentinel").collect()} == {x: level.get(x, len(orders) + 1) for x in orders}
 
 
 def test_frontier_sizes_to_the_end(spark):
@@ -64,5 +64,5 @@ def test_frontier_sizes_to_the_end(spark):
         expected.append((len(expected), len(active), len(active) - len(on)))
         rank |= {x: new[x] for x in on}
         active = on
-    got = sorted(map(tuple, run(spark, "pagerank_frontier_sizes_all").collect()))
+    got = sorted(map(tuple, run(spark, "pagerank_frontier_sizes").collect()))
     assert got == expected and len(got) > registry.ROUNDS and got[-1][1] == got[-1][2]
