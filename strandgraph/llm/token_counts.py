@@ -37,8 +37,8 @@ CHUNK = 1 << 16
 WARM = 512
 #: Characters of units and pretokens that are memoised.
 SHORT = 64
-#: States of a worker's transducer before it is compiled anew.
-STATES = 150_000
+#: States of a worker's transducer before it is compiled anew; at some 850 bytes each, 260 MB.
+STATES = 300_000
 LIMIT = 512
 State = tuple[tuple[int, int, int], ...]
 #: Before the first byte of a pretoken: one open place, at the root, without a last token.
