@@ -37,7 +37,7 @@ CHUNK = 1 << 16
 WARM = 512
 #: Characters of units and pretokens that are memoised.
 SHORT = 64
-#: States of a worker's transducer before it is compiled anew; at some 850 bytes each, 260 MB.
+#: States of a worker's transducer before it is compiled anew; about 540 bytes each with their transitions, 160 MB.
 STATES = 300_000
 LIMIT = 512
 State = tuple[tuple[int, int, int], ...]
