@@ -41,16 +41,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> Da
         raise ValueError(f"the file has vertices 0 to {n - 1}, not {a.source}")
     g, cap = read_csr(spark, a.file, layout), plan_static_region(algorithm, n, e, a.rate).cap
     if algorithm == "pagerank":
-        result, run = pr.pagerank(g, freeze=a.freeze, init=1.0 if a.freeze == "hold" else "1/V"), None
+        sizes: list[tuple[int, int, int]] | None = [] if a.metrics else None
+        result = pr.pagerank(g, freeze=a.freeze, init=1.0 if a.freeze == "hold" else "1/V", sizes=sizes)
+        measures = spark.createDataFrame([(algorithm, *row) for row in sizes or []], pr.METRICS)
     else:
         measured = bool(a.metrics)
         run = t.cc_run(g, measured, cap) if algorithm == "cc" else (t.bfs_run if algorithm == "bfs" else t.sssp_run)(g, a.source, measured, cap)
         name = {"bfs": "level", "sssp": "distance", "cc": "label"}[algorithm]
-        result = run.state.select("id", run.state["value"].alias(name))
+        result, measures = run.state.select("id", run.state["value"].alias(name)), run.metrics()
     if a.output:
         result.write.mode("overwrite").parquet(a.output)
-    if a.metrics and run is not None:
-        append_metrics(run.metrics(), a.metrics)
+    if a.metrics:
+        append_metrics(measures, a.metrics)
     t.head_tail_sample(result).show()
     return result
 

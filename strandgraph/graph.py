@@ -10,14 +10,58 @@ from pyspark.sql import functions as F
 from strandgraph.checkpoints import cut
 
 
+#: Out-edges of a vertex beyond which they are dealt in parts of about so many.
+HUB = 1 << 22
+#: Vertices that are dealt so, at most, those with the most edges: any other has at most a share of 1 / MOST_HUBS of all edges.
+MOST_HUBS = 100_000
+
+
+@dataclass(frozen=True)
+class OutEdges:
+    """Edges hashed and sorted by source, written; those of hubs (src, parts) are hashed by source and part instead."""
+
+    plain: DataFrame
+    hubs: DataFrame | None = None
+    of_hubs: DataFrame | None = None
+
+    @staticmethod
+    def of(edges: DataFrame, hub: int | None = None) -> OutEdges:
+        """``edges`` (src, ...) have been written: which part an edge goes to depends on its place."""
+        hub = HUB if hub is None else hub
+        plain = lambda some: cut(some.repartition("src").sortWithinPartitions("src"))
+        if edges.count() <= hub:
+            return OutEdges(plain(edges))
+        degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub)
+        hubs = cut(degrees.orderBy(F.desc("n"), "src").limit(MOST_HUBS).select("src", F.ceil(F.col("n") / hub).alias("parts")))
+        if hubs.isEmpty():
+            return OutEdges(plain(edges))
+        few = F.broadcast(hubs)  # MOST_HUBS rows
+        part = F.pmod(F.xxhash64("_at"), "parts").alias("part")
+        dealt = edges.withColumn("_at", F.monotonically_increasing_id()).join(few, "src").select("src", part, *(c for c in edges.columns if c != "src"))
+        return OutEdges(plain(edges.join(few, "src", "left_anti")), hubs, cut(dealt.repartition("src", "part").sortWithinPartitions("src", "part")))
+
+    def sent(self, front: DataFrame) -> DataFrame:
+        """Rows of ``front`` (src, ...) with their out-edges: a hub's row goes to each of its parts."""
+        sent = front.join(self.plain, "src")
+        if self.hubs is None:
+            return sent
+        copies = front.join(F.broadcast(self.hubs), "src").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")  # MOST_HUBS rows
+        return sent.unionByName(copies.join(self.of_hubs, ["src", "part"]).drop("part"))
+
+    def only(self, targets: DataFrame) -> OutEdges:
+        """The edges into ``targets`` (dst)."""
+        keep = lambda edges: cut(edges.join(targets, "dst", "left_semi").select(*edges.columns))
+        return OutEdges(keep(self.plain), self.hubs, None if self.hubs is None else keep(self.of_hubs))
+
+
 @dataclass(frozen=True)
 class Graph:
     """Parallel edges and self-loops are kept as they come."""
 
     edges: DataFrame
     vertices: DataFrame
-    #: Whether ``written`` has made it.
-    is_written: bool = False
+    #: The edges as loops join them, if ``written`` has made the graph.
+    out: OutEdges | None = None
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
@@ -45,7 +89,9 @@ class Graph:
         return Graph(self.edges, spark.range(0 if top is None else top + 1))
 
     def written(self) -> Graph:
-        """Edges hashed and sorted by source and vertices by id, both written once: loops join them without another shuffle or sort."""
-        if self.is_written:
+        """Edges dealt and sorted by source and vertices by id, written: loops join them without another shuffle or sort."""
+        if self.out is not None:
             return self
-        return Graph(cut(self.edges.repartition("src").sortWithinPartitions("src")), cut(self.vertices.repartition("id").sortWithinPartitions("id")), True)
+        edges = cut(self.edges)
+        out = OutEdges.of(edges)
+        return Graph(out.plain if out.hubs is None else edges, cut(self.vertices.repartition("id").sortWithinPartitions("id")), out)

@@ -2,8 +2,8 @@
 
 Rounds are Jacobi: all candidates of a round come from the values before it, so
 results and frontiers don't depend on the order of edges.  Edges stay hashed by
-source and the state by id; a round moves only candidates, combined by target
-before they are shuffled.  Lineage is cut every ``rounds_per_cut`` rounds; a round
+source, those of hubs by source and part, and the state by id; a round moves only
+candidates, combined by target before they are shuffled.  Lineage is cut every ``rounds_per_cut`` rounds; a round
 too many changes nothing, so one action serves several rounds.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandgraph.checkpoints import cut
+from strandgraph.graph import OutEdges
 
 METRICS = "algo string, iteration int, active_vertices long, active_edges long, static_vertices long, ondemand_vertices long, bytes_moved long"
 
@@ -33,7 +34,7 @@ class Run:
 
 def iterate(
     state: DataFrame,
-    edges: DataFrame,
+    edges: OutEdges,
     message: Callable[[Column, Column], Column],
     combine: Callable[[Column], Column] = F.min,
     improves: Callable[[Column, Column], Column] = lambda new, old: old.isNull() | (new < old),
@@ -67,7 +68,7 @@ def iterate(
         now = run.state
         for _ in range(steps):
             front = now.where("active").select(*keys, F.col("id").alias("src"), F.col("value").alias("from"))
-            sent = front.join(edges, "src").select(*keys, F.col("dst").alias("id"), message(F.col("from"), F.col("weight")).alias("m"))
+            sent = edges.sent(front).select(*keys, F.col("dst").alias("id"), message(F.col("from"), F.col("weight")).alias("m"))
             best = sent.groupBy(*by).agg(combine(F.col("m")).alias("m"))
             joined = now.join(best, by, "full_outer" if sparse else "left")
             better = F.col("m").isNotNull() & improves(F.col("m"), F.col("value"))

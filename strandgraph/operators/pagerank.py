@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from strandgraph.checkpoints import cut
 from strandgraph.functions.degrees import out_degrees
-from strandgraph.graph import Graph
+from strandgraph.graph import Graph, OutEdges
+
+METRICS = "algo string, iteration int, active_vertices long, newly_frozen long"
 
 
 def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: float = 0.15, tol: float = 1e-3, freeze: str = "hold", max_rounds: int | None = None, rounds_per_cut: int = 3, sizes: list[tuple[int, int, int]] | None = None) -> DataFrame:
@@ -27,7 +29,7 @@ def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: flo
     if freeze not in ("hold", "commit"):
         raise ValueError("freeze is 'hold' or 'commit'")
     degrees = out_degrees(g).where("out_degree > 0").select(F.col("id").alias("src"), F.col("out_degree").cast("double").alias("od"))
-    edges = cut(g.edges.select("src", "dst").join(degrees, "src").repartition("src").sortWithinPartitions("src"))
+    edges = OutEdges.of(cut(g.edges.select("src", "dst").join(degrees, "src")))
     n = g.vertices.count()
     start = F.lit(1.0) / F.lit(float(max(n, 1))) if init == "1/V" else F.lit(float(init))
     state = cut(g.vertices.repartition("id").select("id", start.alias("rank"), F.lit(True).alias("active")))
@@ -36,7 +38,7 @@ def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: flo
         steps = 1 if sizes is not None else rounds_per_cut if max_rounds is None else min(rounds_per_cut, max_rounds - done)
         now = state
         for _ in range(steps):
-            sent = edges.join(now.select(F.col("id").alias("src"), "rank"), "src").select(F.col("dst").alias("id"), (F.col("rank") / F.col("od")).alias("c"))
+            sent = edges.sent(now.select(F.col("id").alias("src"), "rank")).select(F.col("dst").alias("id"), (F.col("rank") / F.col("od")).alias("c"))
             sums = sent.groupBy("id").agg(F.sum("c").alias("s"))
             new = F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))
             step = now.join(sums, "id", "left").withColumn("new", new).withColumn("diff", F.abs(F.col("new") - F.col("rank")))
@@ -52,7 +54,7 @@ def pagerank(g: Graph, init: str | float = 1.0, damping: float = 0.85, base: flo
         if sizes is not None:
             sizes.append((done - 1, before, before - left))
         if 0 < 2 * left <= held:
-            edges, held = cut(edges.join(_hinted(state.where("active").select(F.col("id").alias("dst")), left), "dst", "left_semi").select("src", "dst", "od")), left
+            edges, held = edges.only(_hinted(state.where("active").select(F.col("id").alias("dst")), left)), left
     return state
 
 

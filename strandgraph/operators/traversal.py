@@ -28,7 +28,7 @@ def _region(g: Graph, cap: int | None) -> DataFrame:
 
 def bfs_run(g: Graph, source: int, measured: bool = False, cap: int | None = None) -> Run:
     g = g.written()
-    return iterate(_from_source(g, source), g.edges, lambda value, _: value + 1, algo="bfs", measured=measured, region=_region(g, cap) if measured else None)
+    return iterate(_from_source(g, source), g.out, lambda value, _: value + 1, algo="bfs", measured=measured, region=_region(g, cap) if measured else None)
 
 
 def bfs(g: Graph, source: int) -> DataFrame:
@@ -38,7 +38,7 @@ def bfs(g: Graph, source: int) -> DataFrame:
 
 def sssp_run(g: Graph, source: int, measured: bool = False, cap: int | None = None) -> Run:
     g = g.written()
-    return iterate(_from_source(g, source), g.edges, lambda value, weight: value + weight, algo="sssp", measured=measured, region=_region(g, cap) if measured else None, edge_bytes=8)
+    return iterate(_from_source(g, source), g.out, lambda value, weight: value + weight, algo="sssp", measured=measured, region=_region(g, cap) if measured else None, edge_bytes=8)
 
 
 def sssp(g: Graph, source: int) -> DataFrame:
@@ -49,7 +49,7 @@ def sssp(g: Graph, source: int) -> DataFrame:
 def cc_run(g: Graph, measured: bool = False, cap: int | None = None) -> Run:
     g = g.written()
     state = g.vertices.select("id", F.col("id").alias("value"), F.lit(True).alias("active"))
-    return iterate(state, g.edges, lambda value, _: value, algo="cc", measured=measured, region=_region(g, cap) if measured else None)
+    return iterate(state, g.out, lambda value, _: value, algo="cc", measured=measured, region=_region(g, cap) if measured else None)
 
 
 def cc(g: Graph) -> DataFrame:
@@ -66,7 +66,7 @@ def bfs_multi_source(g: Graph, sources: Sequence[int]) -> DataFrame:
     g = g.written()
     seeds = spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], "id long").join(g.vertices, "id", "left_semi")  # as many rows as sources
     state = seeds.select(F.col("id").alias("source"), "id", F.lit(1).cast("long").alias("value"), F.lit(True).alias("active"))
-    done = iterate(state, g.edges, lambda value, _: value + 1, keys=("source",), algo="bfs", sparse=True).state
+    done = iterate(state, g.out, lambda value, _: value + 1, keys=("source",), algo="bfs", sparse=True).state
     return done.select("source", "id", F.col("value").alias("level"))
 
 

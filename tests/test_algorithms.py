@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandgraph.graph import Graph
 from strandgraph.operators import accounting, traversal
@@ -111,3 +112,24 @@ def test_partitions_make_no_difference(spark):
     edges = spark.createDataFrame(T1[1], "src long, dst long, weight long")
     for n in (1, 7):
         assert values(traversal.sssp(Graph.from_edges(edges.repartition(n), spark.range(8)), 0), "distance") == [1, 4, 2, 9, 12, None, None, None]
+
+
+def test_hubs_make_no_difference(spark, monkeypatch):
+    """A vertex with most of the edges, some of them many times, is dealt in parts."""
+    rows = [(0, i % 40 + 1, i % 7 + 1) for i in range(300)] + [(i, i + 1, 1) for i in range(1, 44)] + [(i, 0, 2) for i in range(1, 40)]
+    g = graph(spark, 45, rows)
+    found = []
+    for hub in (1 << 22, 350, 16):
+        monkeypatch.setattr("strandgraph.graph.HUB", hub)
+        out = g.written().out
+        assert (out.hubs is None) == (hub > 300)
+        every = [tuple(r) for r in out.plain.select("src", "dst", "weight").collect()]
+        if out.hubs is not None:
+            assert [tuple(r) for r in out.hubs.collect()] == [(0, 19)]
+            assert max(r["count"] for r in out.of_hubs.groupBy("part").count().collect()) < 60
+            every += [tuple(r) for r in out.of_hubs.select("src", "dst", "weight").collect()]
+        assert sorted(every) == sorted(rows)
+        results = [traversal.bfs(g, 5), traversal.sssp(g, 5), traversal.cc(g), traversal.bfs_multi_source(g, [0, 7])]
+        results.append(pagerank(g, max_rounds=6).select("id", F.round("rank", 9)))
+        found.append([sorted(map(tuple, x.collect()), key=str) for x in results])
+    assert found[0] == found[1] == found[2]

@@ -62,6 +62,11 @@ def test_command_line(spark, g, tmp_path):
     rows = main(["-f", path, "--type", "bfs", "-r", "0", "--adviseK", "0.8", "--metrics", str(tmp_path / "m"), "--output", str(tmp_path / "o")], spark)
     assert sorted(map(tuple, rows.collect()))[:3] == [(0, 1), (1, 2), (2, 2)]
     assert spark.read.json(str(tmp_path / "m")).count() == 2 and spark.read.parquet(str(tmp_path / "o")).count() == 6
+    ranked = str(tmp_path / "p.csr")
+    write_csr(g, ranked, Layout(out_degree=True, incoming=True))
+    main(["-f", ranked, "--type", "pr", "--metrics", str(tmp_path / "pm")], spark)
+    first = spark.read.json(str(tmp_path / "pm")).where("iteration = 0").first()
+    assert first["algo"] == "pagerank" and first["active_vertices"] == 6
     for bad in (["-f", path, "--method", "1"], ["-f", path, "--type", "mst"]):
         with pytest.raises(SystemExit):
             main(bad, spark)
