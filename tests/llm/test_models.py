@@ -211,3 +211,56 @@ def test_bound_on_fitting_texts(spark, docs_of, monkeypatch):
     for most in (0, 3000, 10_000, 10**9):
         toxicity.train(docs_of(rows), told, most=most)
     assert seen[0] == 0 < seen[1] <= 3000 // 7 < seen[2] < seen[3]
+
+
+def test_labelled_rows_beyond_the_start_are_fitted_on(spark, docs_of):
+    """Each passes through one shard; neither partitions nor the order of rows change the model."""
+    rows, labels = toxic_rows(1500)
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 5 == 0}
+    seen = []
+    for docs in (docs_of(rows).coalesce(1), docs_of(rows[::-1]).repartition(7)):
+        model = toxicity.train(docs, told, sample=20, shard=500, rounds=6)
+        got = {r["doc_id"]: r for r in toxicity.toxicity(docs, model).collect()}
+        assert sum(got[i]["predicted"] == y for i, y in held.items()) >= 0.95 * len(held)
+        seen.append(got)
+    assert all(seen[0][i]["score"] == pytest.approx(seen[1][i]["score"], abs=1e-3) for i in seen[0])
+
+
+def test_thresholds_count_every_calibrating_row(spark, docs_of, monkeypatch):
+    rows, labels = toxic_rows(300)
+    counted = []
+    plain = toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda steps, n, hits: counted.append((int(n.sum()), int(hits.sum()))) or plain(steps, n, hits))
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    toxicity.train(docs_of(rows), told, sample=20, rounds=0)
+    fitted = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, **options: fitted.append((len(y), int(y.sum()))) or fit(texts, y, **options))
+    toxicity.train(docs_of(rows), told)
+    learnt = [y for i, _, y in labels if zlib.crc32(str(i).encode()) % 5]
+    assert counted[0][0] > 20 and (counted[0][0] + fitted[0][0], counted[0][1] + fitted[0][1]) == (len(learnt), sum(learnt))
+
+
+def test_best_threshold():
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        steps = r.choice(np.arange(-300, 300), 40, replace=False)
+        n = r.integers(1, 5, 40)
+        hits = r.integers(0, n + 1)
+        odds = np.repeat(steps, n) / toxicity.GRID
+        y = np.concatenate([np.arange(k) < h for k, h in zip(n, hits, strict=True)])
+        f1 = lambda cut: 2 * (y & (odds >= cut)).sum() / ((odds >= cut).sum() + y.sum())
+        assert f1(toxicity.logit(toxicity.best_threshold(steps, n, hits))) == pytest.approx(max(f1(s / toxicity.GRID) for s in steps))
+
+
+def test_long_texts_score_in_parts_like_whole(monkeypatch):
+    text = " ".join(f"wörd{k % 700}_{k}" for k in range(9000))
+    m = toxicity.Model.fresh(3)
+    rows = toxicity.rows_of(text)
+    whole, where, _ = m.maxima(rows)
+    monkeypatch.setattr(toxicity, "WORDS", 1000)
+    monkeypatch.setattr(toxicity, "GROUP", 5000)
+    assert np.array_equal(rows, toxicity.rows_of(text))
+    peaks, at = m.peaks(rows, np.array([0, len(rows)]), places=True)
+    assert m.top(peaks)[0] == pytest.approx(whole, abs=1e-6) and np.array_equal(at[0], np.concatenate([a for _, a, _ in where]))
