@@ -5,14 +5,16 @@ pieces of one or two bytes, apart by whether they begin a word.  A word
 (lower-cased, UTF-8) outside the vocabulary is spelled in such pieces, so every
 text has ids, and a text ends with an end.  Ids are classes of their own if
 frequent; other words share a class by their last two bytes, pieces by their first
-byte.  A piece's probability in its class comes from counts of its first byte after the
-two bytes before it in the word, and of its second after the two before that one; such pairs are
+byte.  Which bytes a piece has is up to the model too: one softmax over its first byte, one over its
+second.  Before fitting they give what counts of the first byte after the
+two bytes before it in the word give, and of the second after the two before that one; such pairs are
 hashed to ``ROWS`` rows.  Of each word's training occurrences ``DISCOUNT`` are fitted on as spelled, by a
 hash of text and place, and taken off its count: that is what the model gives to words that it hasn't seen.
 
 *Model.*  One layer of single-head causal attention with a learned bias by
-distance, a feed-forward layer and a softmax over classes; a subword's probability
-in its class comes from exact counts over all training texts.  Each subword is scored
+distance, a feed-forward layer and softmaxes: over classes, and over the bytes of a piece; a
+piece is read by its last byte.  A word's probability in its class comes from exact counts over all
+training texts.  Each subword is scored
 once, with a context of at least ``CONTEXT - STRIDE`` subwords where the text has
 them, in overlapping windows that are stacked into masked batches.  Before
 fitting, the model gives each class its share of the training subwords.
@@ -53,6 +55,8 @@ DISCOUNT = 0.75
 #: Classes: the end, then the most frequent words, then words by suffix, then pieces.
 SINGLE, SUFFIX, PIECE = 48, 72, 8
 CLASSES = SINGLE + SUFFIX + PIECE
+#: Rows of the table that inputs are looked up in: classes, nothing (PAD), and pieces by their last byte.
+INPUTS = 256
 #: Contexts of a piece's first and second byte; the cells of both tables, the second byte may be none.
 ROWS = 8192
 FIRST = ROWS * 256
@@ -168,6 +172,8 @@ class Vocabulary:
     log_p: np.ndarray
     #: Training subwords of each class but those of pieces.
     mass: np.ndarray
+    #: log10 (count + 0.5)
+    logs: np.ndarray
 
     @staticmethod
     def of(keys: np.ndarray, counts: np.ndarray, suffix: np.ndarray, ends: int) -> Vocabulary:
@@ -183,7 +189,7 @@ class Vocabulary:
         class_of[held] = own[held]
         log_p = np.zeros(len(n))
         log_p[held] = np.log10(left[held] / mass[own[held]])
-        return Vocabulary(look, n, class_of, log_p, mass)
+        return Vocabulary(look, n, class_of, log_p, mass, np.log10(n + 0.5))
 
 
 @dataclass
@@ -194,14 +200,14 @@ class Subwords:
     bounds: np.ndarray
     pieces: np.ndarray
     piece_bounds: np.ndarray
-    #: By text: words, those in the table, and the sums of log10 (count + 0.5) of these and of log10 probabilities in their classes.
-    n_words: np.ndarray
-    n_held: np.ndarray
-    logs: np.ndarray
-    inside: np.ndarray
+    #: To be scored only.  By text: words, those in the table, and the sums of log10 (count + 0.5) of these and of log10 probabilities in their classes.
+    n_words: np.ndarray | None = None
+    n_held: np.ndarray | None = None
+    logs: np.ndarray | None = None
+    inside: np.ndarray | None = None
     #: Hashes of words beyond the table.
-    tail: np.ndarray
-    tail_bounds: np.ndarray
+    tail: np.ndarray | None = None
+    tail_bounds: np.ndarray | None = None
 
     @staticmethod
     def both(texts: list[bytes], v: Vocabulary, keys: np.ndarray) -> tuple[Subwords, Subwords]:
@@ -241,7 +247,9 @@ class Subwords:
         classes = np.zeros(len(units) + k, np.uint8)  # the end is class 0
         classes[np.arange(len(units)) + in_text] = units
         bounds_of = lambda x: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=k))])
-        logs = np.log10(v.n + 0.5)
+        if spell is not None:
+            return Subwords(classes, bounds, pieces.astype(np.int32), bounds_of(in_text[spelled]))
+        logs = v.logs
         total = lambda values, of: np.bincount(of, weights=values, minlength=k).astype(np.float64)
         return Subwords(
             classes, bounds, pieces.astype(np.int32), bounds_of(in_text[spelled]),
@@ -266,8 +274,9 @@ def cell_logs(counts: np.ndarray) -> np.ndarray:
 
 
 SHAPES = {
-    "embed": (CLASSES + 1, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH),
+    "embed": (INPUTS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH),
     "near": (CONTEXT,), "up": (WIDTH, HIDDEN), "up_b": (HIDDEN,), "down": (HIDDEN, WIDTH), "out": (WIDTH, CLASSES), "out_b": (CLASSES,),
+    "one": (WIDTH, 256), "two": (WIDTH, 257),
 }
 PAD = CLASSES
 _distance = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
@@ -286,20 +295,31 @@ def class_mass(v: Vocabulary, cells: np.ndarray) -> np.ndarray:
 
 
 def fresh(mass: np.ndarray | None = None, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Before fitting each class has its share of ``mass``, one added, whatever the context."""
+    """Before fitting each class has its share of ``mass``, one added, whatever the context, and bytes have theirs by ``cell_logs``."""
     r = np.random.default_rng(seed)
     out = {name: (r.normal(0, 0.5 / math.sqrt(WIDTH), shape) if len(shape) > 1 else np.zeros(shape)).astype(np.float32) for name, shape in SHAPES.items()}
     out["embed"] *= 2
     if mass is not None:
-        out["out"][:] = 0
+        for name in ("out", "one", "two"):
+            out[name][:] = 0
         out["out_b"] = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
     return out
 
 
-def windows(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def piece_inputs(classes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The row of ``embed`` for each subword: its class, but a piece's by its last byte."""
+    out = classes
+    if len(cells):
+        one, two = cells[:, 0] & 255, (cells[:, 1] - FIRST) % 257
+        out = classes.copy()
+        out[classes >= SINGLE + SUFFIX] = PAD + 1 + np.where(two < 256, two, one) % (INPUTS - PAD - 1)
+    return out
+
+
+def windows(classes: np.ndarray, bounds: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs (n, CONTEXT), targets (n, STRIDE) and the target's place or -1, for texts whose subwords lie between ``bounds``.
 
-    The last STRIDE places of a window predict; before a text stands the end's class.
+    The last STRIDE places of a window predict; before a text stands the end's class.  ``own``: inputs where they aren't the classes.
     """
     sizes = np.diff(bounds)
     each = (sizes + STRIDE - 1) // STRIDE
@@ -310,56 +330,129 @@ def windows(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     place = np.where(target < last[:, None], target, -1)
     source = (first + k * STRIDE)[:, None] + np.arange(-(CONTEXT - STRIDE) - 1, STRIDE - 1)[None, :]
     inside = (source >= first[:, None]) & (source < last[:, None])
-    inputs = np.where(inside, classes[np.clip(source, 0, len(classes) - 1)], np.where(source == first[:, None] - 1, 0, PAD)).astype(np.uint8)
+    read = classes if own is None else own
+    inputs = np.where(inside, read[np.clip(source, 0, len(classes) - 1)], np.where(source == first[:, None] - 1, 0, PAD)).astype(np.uint8)
     return inputs, np.where(place >= 0, classes[np.maximum(place, 0)], 0), place
 
 
+_ones = np.ones(1 << 13, np.float32)
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Over the last axis: for short rows a product is faster than a sum."""
+    return a @ _ones[: a.shape[-1]].astype(a.dtype, copy=False)
+
+
+def _below(x: np.ndarray, w: np.ndarray, b: np.ndarray | float = 0.0, most: float = 80) -> bool:
+    """Whether no number of ``x @ w + b`` can be further from 0 than ``most``, by the lengths of rows and columns: then no exponential overflows."""
+    return math.sqrt(float(_sums(x * x).max(initial=0)) * float((w * w).sum(axis=0).max())) + float(np.abs(b).max()) < most
+
+
 def forward(m: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarray]:
-    """Queries, keys and values are tables by class."""
-    embed = m["embed"]
-    own = inputs[:, CONTEXT - STRIDE :]
-    xq, q, k, v = embed[own], (embed @ m["q"] * (1 / math.sqrt(WIDTH)))[own], (embed @ m["k"])[inputs], (embed @ m["v"])[inputs]
+    """Queries, keys and values are tables by input."""
+    embed, at = m["embed"], inputs.astype(np.intp)
+    own = at[:, CONTEXT - STRIDE :]
+    tq, tk = embed @ m["q"] * (1 / math.sqrt(WIDTH)), embed @ m["k"]
+    x, q, k, v = embed.take(at, 0), tq.take(own, 0), tk.take(at, 0), (embed @ m["v"]).take(at, 0)
+    xq = x[:, CONTEXT - STRIDE :]
     a = q @ k.transpose(0, 2, 1)
-    a += m["near"][_distance] + _causal
-    if (inputs[:, 0] == PAD).any():
-        a += np.where(inputs == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
+    near = m["near"][_distance]
+    a += near + _causal
+    begins = np.flatnonzero(inputs[:, 0] == PAD)
+    if len(begins):
+        a[begins] += np.where(inputs[begins] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    # a place sees itself, or the end before the text, so no sum of exponentials is empty
+    if not _below(tq, tk.T, m["near"]):
+        a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= _sums(a)[:, :, None]
     y = a @ v
     y += xq
     flat = y.reshape(-1, WIDTH)
     r = flat @ m["up"]
     r += m["up_b"]
     np.maximum(r, 0, out=r)
-    z = r @ m["down"]
-    z += flat
-    logits = z @ m["out"]
-    logits += m["out_b"]
-    if not np.abs(z).sum(axis=1).max() * np.abs(m["out"]).max() + np.abs(m["out_b"]).max() < 80:  # else no exponential overflows
+    z1 = np.empty((len(r), WIDTH + 1), r.dtype)  # and a one, for the bias
+    z1[:, WIDTH] = 1
+    z = np.add(r @ m["down"], flat, out=z1[:, :WIDTH])
+    logits = z1 @ np.concatenate([m["out"], m["out_b"][None]])
+    if not _below(z, m["out"], m["out_b"]):
         logits -= logits.max(axis=1, keepdims=True)
-    return {"xq": xq, "q": q, "k": k, "v": v, "a": a, "y": flat, "r": r, "z": z, "logits": logits}
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "y": flat, "r": r, "z": z, "z1": z1, "logits": logits}
 
 
-def log_class(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """log10 probability of each target's class."""
-    logits = forward(m, inputs)["logits"]
-    own = logits[np.arange(len(logits)), targets.ravel()]
-    np.exp(logits, out=logits)
-    return ((own - np.log(logits.sum(axis=1))) / math.log(10)).reshape(targets.shape)
+def byte_odds(m: dict[str, np.ndarray], z: np.ndarray, cells: np.ndarray, logs: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Of pieces predicted from ``z``: log-odds of the first byte, among those that the class leaves, and of the second, and which it is.
 
-
-def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability of the valid targets' classes."""
+    ``logs``: natural logarithms of the cells' shares.
+    """
+    prior, group = logs[:FIRST].reshape(-1, 64).take(cells[:, 0] >> 6, 0), (cells[:, 0] >> 6) & 3
+    odds = np.empty((len(z), 64), z.dtype)
+    for at, w in _groups(group):
+        odds[at] = z[at] @ m["one"][:, w]
+    two = cells[:, 1] - FIRST
+    for name, x, prior, own in (("one", odds, prior, cells[:, 0] & 63), ("two", z @ m["two"], logs[FIRST:].reshape(-1, 257).take(two // 257, 0), two % 257)):
+        x += prior
+        if not _below(z, m[name]):  # of a context's shares the largest is at least 1 in 257
+            x -= x.max(axis=1, keepdims=True)
+        yield name, x, own
+
+
+def _groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
+    """Pieces by the two highest bits of their first byte, and the columns of ``one`` for the bytes that have them."""
+    for k in range(4):
+        at = np.flatnonzero(group == k)
+        if len(at):
+            yield at, slice(64 * k, 64 * k + 64)
+
+
+def log_class(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, pieces: tuple[np.ndarray, np.ndarray] | None = None, logs: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each target's class; with ``pieces``, the places of piece targets and their cells, of its bytes too."""
+    f = forward(m, inputs)
+    logits = f["logits"]
+    out = logits[np.arange(len(logits)), targets.ravel()]
+    np.exp(logits, out=logits)
+    out -= np.log(_sums(logits))
+    if pieces is not None and len(pieces[0]):
+        at, cells = pieces
+        for _, odds, own in byte_odds(m, f["z"][at], cells, logs):
+            held = odds[np.arange(len(at)), own]
+            np.exp(odds, out=odds)
+            out[at] += held - np.log(_sums(odds))
+    return (out / math.log(10)).reshape(targets.shape)
+
+
+def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, pieces: tuple[np.ndarray, np.ndarray] | None = None, logs: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability of the valid targets' classes and, with ``pieces``, of their bytes."""
     f = forward(m, inputs)
     b, s = targets.shape
     p = f["logits"]
     np.exp(p, out=p)
-    share = valid.ravel() / max(valid.sum(), 1)
-    p *= (share / p.sum(axis=1)).astype(p.dtype)[:, None]
-    p[np.arange(len(p)), targets.ravel()] -= share.astype(p.dtype)
-    g = {"out": f["z"].T @ p, "out_b": p.sum(axis=0)}
+    share = valid.ravel().astype(p.dtype) / p.dtype.type(max(valid.sum(), 1))
+    # rows of p aren't divided by their sums; what they are multiplied with is
+    sums = _sums(p)
+    p[np.arange(len(p)), targets.ravel()] -= sums
+    part = (share / sums)[:, None]
+    out = (f["z1"] * part).T @ p
+    g = {"out": out[:WIDTH], "out_b": out[WIDTH]}
     dz = p @ m["out"].T
+    dz *= part
+    g["one"], g["two"] = np.zeros_like(m["one"]), np.zeros_like(m["two"])
+    if pieces is not None and len(pieces[0]):
+        at, cells = pieces
+        z, n = f["z"][at], len(at)
+        for name, odds, own in byte_odds(m, z, cells, logs):
+            np.exp(odds, out=odds)
+            sums = _sums(odds)
+            odds[np.arange(n), own] -= sums
+            part = (share[at] / sums)[:, None]
+            if name == "two":
+                g[name] = (z * part).T @ odds
+                dz[at] += odds @ m[name].T * part
+            else:
+                for of, w in _groups((cells[:, 0] >> 6) & 3):
+                    g[name][:, w] = (z * part)[of].T @ odds[of]
+                    dz[at[of]] += odds[of] @ m[name][:, w].T * part[of]
     dr = dz @ m["down"].T
     dr *= f["r"] > 0
     g["down"], g["up"], g["up_b"] = f["r"].T @ dz, f["y"].T @ dr, dr.sum(axis=0)
@@ -368,73 +461,85 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     a = f["a"]
     dv = a.transpose(0, 2, 1) @ dy
     da = dy @ f["v"].transpose(0, 2, 1)
-    da -= (da * a).sum(axis=2, keepdims=True)
+    da -= _sums(dy * (f["y"].reshape(b, s, WIDTH) - f["x"][:, CONTEXT - STRIDE :]))[:, :, None]  # what da gives on average over a
     da *= a
     g["near"] = np.bincount(_distance.ravel(), weights=np.where(_causal < 0, 0, da.sum(axis=0)).ravel(), minlength=CONTEXT).astype(p.dtype)
     dq, dk = da @ f["k"], da.transpose(0, 2, 1) @ f["q"]
-    # sums by class: rows sorted by it, then added in runs
-    each = np.zeros((b, CONTEXT, 4 * WIDTH), p.dtype)
-    each[:, :, :WIDTH], each[:, :, WIDTH : 2 * WIDTH] = dk, dv
-    each[:, CONTEXT - STRIDE :, 2 * WIDTH : 3 * WIDTH], each[:, CONTEXT - STRIDE :, 3 * WIDTH :] = dq, dy
-    tk, tv, tq, tx = np.split(_by_class(inputs, each), 4, axis=1)
-    tq = tq * p.dtype.type(1 / math.sqrt(WIDTH))
-    embed = m["embed"]
-    g["q"], g["k"], g["v"] = embed.T @ tq, embed.T @ tk, embed.T @ tv
-    g["embed"] = tx + tq @ m["q"].T + tk @ m["k"].T + tv @ m["v"].T
+    scale = p.dtype.type(1 / math.sqrt(WIDTH))
+    x, xq, flat = f["x"].reshape(-1, WIDTH), f["x"][:, CONTEXT - STRIDE :].reshape(-1, WIDTH), lambda d: d.reshape(-1, WIDTH)
+    g["q"], g["k"], g["v"] = xq.T @ flat(dq) * scale, x.T @ flat(dk), x.T @ flat(dv)
+    dx = (flat(dk) @ m["k"].T + flat(dv) @ m["v"].T).reshape(b, CONTEXT, WIDTH)
+    dx[:, CONTEXT - STRIDE :] += (flat(dq) @ (m["q"].T * scale)).reshape(b, s, WIDTH) + dy
+    g["embed"] = _by_class(inputs, dx)
     return g
 
 
-def _by_class(classes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    flat, width = classes.ravel(), values.shape[-1]
-    n = np.bincount(flat, minlength=CLASSES + 1)
+def _by_class(inputs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums by input: rows sorted by it, then added in runs."""
+    flat, width = inputs.ravel(), values.shape[-1]
+    n = np.bincount(flat, minlength=INPUTS)
     held = np.flatnonzero(n)
-    out = np.zeros((CLASSES + 1, width), values.dtype)
-    out[held] = np.add.reduceat(values.reshape(-1, width)[np.argsort(flat, kind="stable")], (np.cumsum(n) - n)[held], axis=0)
+    out = np.zeros((INPUTS, width), values.dtype)
+    out[held] = np.add.reduceat(values.reshape(-1, width).take(np.argsort(flat, kind="stable"), 0), (np.cumsum(n) - n)[held], axis=0)
     return out
 
 
 class Adam:
+    """Steps on a copy of a model, ``m``, whose arrays lie in one."""
+
     def __init__(self, m: dict[str, np.ndarray], rate: float):
-        self.m, self.rate, self.t = m, rate, 0
-        self.one = {k: np.zeros_like(v) for k, v in m.items()}
-        self.two = {k: np.zeros_like(v) for k, v in m.items()}
+        self.rate, self.t, self.flat = rate, 0, _flat(m)
+        self.m = _views(self.flat)
+        self.one, self.two = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k, v in self.m.items():
-            self.one[k] += 0.1 * (g[k] - self.one[k])
-            self.two[k] += 0.01 * (g[k] * g[k] - self.two[k])
-            v -= self.rate * (self.one[k] / (1 - 0.9**self.t)) / (np.sqrt(self.two[k] / (1 - 0.99**self.t)) + 1e-8)
+        g_ = _flat(g)
+        self.one += 0.1 * (g_ - self.one)
+        self.two += 0.01 * (g_ * g_ - self.two)
+        self.flat -= self.rate / (1 - 0.9**self.t) * self.one / (np.sqrt(self.two / (1 - 0.99**self.t)) + 1e-8)
+
 
+class Pieces:
+    """Which subwords of a sequence are pieces, and their cells."""
 
-def fit_chunks(m: dict[str, np.ndarray], chunks: Iterator[bytes], rate: float = RATE) -> tuple[dict[str, np.ndarray], int]:
-    """``m`` fitted on all windows of ``chunks`` in their order, and how many there were."""
-    own = {k: v.copy() for k, v in m.items()}
-    adam, seen = Adam(own, rate), 0
-    held: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, classes: np.ndarray, cells: np.ndarray):
+        self.cells = cells
+        self.number = np.cumsum(classes >= SINGLE + SUFFIX) - 1 if len(cells) else None
+
+    def __call__(self, targets: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        if self.number is None:
+            return None
+        at = np.flatnonzero((targets >= SINGLE + SUFFIX) & (place >= 0))
+        return at, self.cells[self.number[place.ravel()[at]]]
+
+
+def fit_chunks(m: dict[str, np.ndarray], chunks: Iterator[tuple[bytes, bytes]], logs: np.ndarray | None = None, rate: float = RATE) -> tuple[dict[str, np.ndarray], int]:
+    """``m`` fitted on all windows of ``chunks``, classes and cells of pieces, in their order, and how many there were."""
+    adam, seen = Adam(m, rate), 0
+    held: list[tuple[bytes, bytes]] = []
     size = 0
 
-    def step(least: int) -> None:
-        nonlocal held, size, seen
-        if size < max(least, 1):
-            return
-        inputs, targets, place = (np.concatenate([h[i] for h in held]) for i in range(3))
-        done = 0
-        while size - done >= max(least, 1):
-            w = slice(done, done + FIT_BATCH)
-            adam.step(gradients(own, inputs[w], targets[w], place[w] >= 0))
-            done = min(done + FIT_BATCH, size)
-        seen += done
-        held, size = [(inputs[done:], targets[done:], place[done:])], size - done
+    def step() -> None:
+        classes = np.frombuffer(b"".join(c for c, _ in held), np.uint8)
+        cells = np.frombuffer(b"".join(p for _, p in held), np.int32).reshape(-1, 2)
+        pieces = Pieces(classes, cells)
+        inputs, targets, place = windows(classes, np.cumsum([0, *(len(c) for c, _ in held)]), piece_inputs(classes, cells))
+        batches = max(round(len(inputs) / FIT_BATCH), 1)
+        for i in range(batches):
+            w = slice(len(inputs) * i // batches, len(inputs) * (i + 1) // batches)
+            adam.step(gradients(adam.m, inputs[w], targets[w], place[w] >= 0, pieces(targets[w], place[w]), logs))
 
     for c in chunks:
-        classes = np.frombuffer(c, np.uint8)
-        held.append(windows(classes, np.array([0, len(classes)])))
-        size += len(held[-1][0])
+        if len(c[0]):
+            held.append(c)
+            size += -(-len(c[0]) // STRIDE)
         if size >= 16 * FIT_BATCH:
-            step(FIT_BATCH)
-    step(0)
-    return own, seen
+            step()
+            held, seen, size = [], seen + size, 0
+    if size:
+        step()
+    return adam.m, seen + size
 
 
 # ---------------------------------------------------------------- Spark
@@ -492,11 +597,11 @@ def _flat(m: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([m[k].ravel() for k in SHAPES])
 
 
-def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
+def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, shape in SHAPES.items():
         n = math.prod(shape)
-        out[k] = flat[at : at + n].reshape(shape).astype(np.float32)
+        out[k] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
@@ -505,6 +610,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _chunked(classes: np.ndarray) -> list[int]:
+    """How many pieces stand before each chunk of a text after its first; most texts have but one."""
+    if len(classes) <= CHUNK:
+        return []
+    return np.cumsum(classes >= SINGLE + SUFFIX)[CHUNK - 1 : len(classes) - 1 : CHUNK].tolist()
+
+
 def sequences(docs: DataFrame, vocabulary) -> DataFrame:
     """For each row of ``docs`` its class ids, a byte each, its pieces, both again as a training text is fitted on, and the parts of its scores that come from the table."""
 
@@ -519,12 +631,12 @@ def sequences(docs: DataFrame, vocabulary) -> DataFrame:
                 tail = pa.ListArray.from_arrays(pa.array(x.tail_bounds.astype(np.int32)), pa.array(x.tail))
                 fitted = [pc.if_else(pa.array(trains), a, pa.nulls(n, pa.binary())) for a in (cut_(y.classes, y.bounds), cut_(y.pieces, y.piece_bounds))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(first, n) for c in ("row", "doc_id", "held_out")), _signed(key), pa.array(x.n_words + 1), pa.array(x.n_held.astype(np.int64)), pa.array(x.logs), pa.array(x.inside), cut_(x.classes, x.bounds), cut_(x.pieces, x.piece_bounds), *fitted, tail],
-                    ["row", "doc_id", "held_out", "key", "n_tokens", "n_held", "logs", "inside", "classes", "pieces", "fit_classes", "fit_pieces", "tail"],
+                    [*(b.column(c).slice(first, n) for c in ("row", "doc_id", "held_out")), _signed(key), pa.array(x.n_words + 1), pa.array(x.n_held.astype(np.int64)), pa.array(x.logs), pa.array(x.inside), cut_(x.classes, x.bounds), cut_(x.pieces, x.piece_bounds), *fitted, pa.array([_chunked(c) for c in np.split(y.classes, y.bounds[1:-1])], pa.list_(pa.int32())), tail],
+                    ["row", "doc_id", "held_out", "key", "n_tokens", "n_held", "logs", "inside", "classes", "pieces", "fit_classes", "fit_pieces", "fit_at", "tail"],
                 )
 
     read = _read(docs).withColumn("row", F.monotonically_increasing_id())
-    return read.mapInArrow(run, "row long, doc_id long, held_out boolean, key long, n_tokens long, n_held long, logs double, inside double, classes binary, pieces binary, fit_classes binary, fit_pieces binary, tail array<long>")
+    return read.mapInArrow(run, "row long, doc_id long, held_out boolean, key long, n_tokens long, n_held long, logs double, inside double, classes binary, pieces binary, fit_classes binary, fit_pieces binary, fit_at array<int>, tail array<long>")
 
 
 def cell_counts(train: DataFrame) -> np.ndarray:
@@ -543,8 +655,8 @@ def cell_counts(train: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, shard: int = SHARD, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Federated averaging over rows (key, classes): see the module's docstring."""
+def fit(train: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, shard: int = SHARD, rate: float = RATE, logs: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Federated averaging over rows (key, classes) or, with ``logs`` for the bytes of pieces, (key, classes, pieces, at): see the module's docstring."""
     m = fresh(mass)
     sc = train.sparkSession.sparkContext
     total = train.agg(F.coalesce(F.sum(F.octet_length("classes").cast("long")), F.lit(0))).first()[0]  # one number
@@ -554,38 +666,43 @@ def fit(train: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, shard: int = S
     # chunks of a text come in its order; after the first they begin without a context
     chunks = train.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("classes") - 1) / CHUNK).cast("int"))))
     dealt = F.xxhash64("key", "chunk")
-    chunks = chunks.select("key", "chunk", F.substring("classes", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("classes"), F.pmod(dealt, F.lit(rounds)).alias("pass"), F.pmod(F.shiftright(dealt, 16), F.lit(shards)).alias("shard"))
+    if logs is not None:
+        first = F.coalesce(F.try_element_at("at", F.when(F.col("chunk") > 0, F.col("chunk"))), F.lit(0))
+        last = F.coalesce(F.try_element_at("at", F.col("chunk") + 1), F.floor(F.octet_length("pieces") / 8).cast("int"))
+    pieces = F.substring("pieces", first * 8 + 1, (last - first) * 8) if logs is not None else F.lit(b"")
+    chunks = chunks.select("key", "chunk", pieces.alias("pieces"), F.substring("classes", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("classes"), F.pmod(dealt, F.lit(rounds)).alias("pass"), F.pmod(F.shiftright(dealt, 16), F.lit(shards)).alias("shard"))
+    known = sc.broadcast(logs)
     for number in range(rounds):
         held = sc.broadcast(m)  # one small model
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             state: dict = {}
 
-            def rows() -> Iterator[tuple[int, bytes]]:
+            def rows() -> Iterator[tuple[int, tuple[bytes, bytes]]]:
                 for b in batches:
                     for i in range(0, b.num_rows, 256):
                         part = b.slice(i, 256)
-                        yield from zip(part.column("shard").to_pylist(), part.column("classes").to_pylist(), strict=True)
+                        yield from zip(part.column("shard").to_pylist(), zip(part.column("classes").to_pylist(), part.column("pieces").to_pylist(), strict=True), strict=True)
 
             stream = rows()
             state["next"] = next(stream, None)
 
-            def one_shard(own: int) -> Iterator[bytes]:
+            def one_shard(own: int) -> Iterator[tuple[bytes, bytes]]:
                 while state["next"] is not None and state["next"][0] == own:
                     yield state["next"][1]
                     state["next"] = next(stream, None)
 
             while state["next"] is not None:
-                fitted, seen = fit_chunks(held.value, one_shard(state["next"][0]), rate)
+                fitted, seen = fit_chunks(held.value, one_shard(state["next"][0]), known.value, rate)
                 flat = _flat(fitted).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, seen))], ["i", "x"])
 
-        part = chunks.where(F.col("pass") == number).select("shard", "key", "chunk", "classes")
+        part = chunks.where(F.col("pass") == number).select("shard", "key", "chunk", "classes", "pieces")
         ordered = part.repartition(shards, "shard").sortWithinPartitions("shard", "key", "chunk", "classes")
-        sums = ordered.select("shard", "classes").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+        sums = ordered.select("shard", "classes", "pieces").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
         got = sums.toArrow().sort_by("i")["x"].to_numpy()  # as many rows as the model has numbers
         if len(got) and got[-1]:
-            m = _shaped(got[:-1] / got[-1])
+            m = _views((got[:-1] / got[-1]).astype(np.float32))
     return m
 
 
@@ -602,9 +719,10 @@ def lm_score(docs: DataFrame, rounds: int = ROUNDS, shard: int = SHARD, most: in
     vocabulary = Vocabulary.of(*head(counts, most), ends)
     known = sc.broadcast(vocabulary)
     seqs, _ = stored(sequences(docs, known))
-    train = seqs.where("fit_classes IS NOT NULL").select("key", F.col("fit_classes").alias("classes"), F.col("fit_pieces").alias("pieces"))
+    train = seqs.where("fit_classes IS NOT NULL").select("key", F.col("fit_classes").alias("classes"), F.col("fit_pieces").alias("pieces"), F.col("fit_at").alias("at"))
     cells = cell_counts(train)
-    model = sc.broadcast((fit(train.select("key", "classes"), class_mass(vocabulary, cells), rounds, shard), cell_logs(cells)))
+    shares = cell_logs(cells) * np.float32(math.log(10))
+    model = sc.broadcast((fit(train, class_mass(vocabulary, cells), rounds, shard, logs=shares), shares))
     scale = math.log10(n_all + 0.5 * (v_all + 1))
     end_log = math.log10(ends + 0.5)
 
@@ -614,15 +732,17 @@ def lm_score(docs: DataFrame, rounds: int = ROUNDS, shard: int = SHARD, most: in
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 held = [np.frombuffer(x, np.uint8) for x in part.column("classes").to_pylist()]
-                out = np.array([logs[np.frombuffer(x, np.int32)].sum() for x in part.column("pieces").to_pylist()])
+                spelled = part.column("pieces").to_pylist()
+                out = np.zeros(len(held))
                 for first, last in _runs([len(x) for x in held]):
                     classes, bounds = np.concatenate(held[first:last]), np.concatenate([[0], np.cumsum([len(x) for x in held[first:last]])])
-                    score = np.zeros(len(classes))
-                    inputs, targets, place = windows(classes, bounds)
+                    cells = np.frombuffer(b"".join(spelled[first:last]), np.int32).reshape(-1, 2)
+                    pieces, score = Pieces(classes, cells), np.zeros(len(classes))
+                    inputs, targets, place = windows(classes, bounds, piece_inputs(classes, cells))
                     for j in range(0, len(inputs), BATCH):
-                        p = place[j : j + BATCH]
-                        score[p[p >= 0]] = log_class(m, inputs[j : j + BATCH], targets[j : j + BATCH])[p >= 0]
-                    out[first:last] += np.add.reduceat(score, bounds[:-1])
+                        p, t = place[j : j + BATCH], targets[j : j + BATCH]
+                        score[p[p >= 0]] = log_class(m, inputs[j : j + BATCH], t, pieces(t, p), logs)[p >= 0]
+                    out[first:last] = np.add.reduceat(score, bounds[:-1])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_held", "logs")), pa.array(out + part.column("inside").to_numpy())], ["row", "doc_id", "held_out", "n_tokens", "n_held", "logs", "score"])
 
     scored = seqs.select("row", "doc_id", "held_out", "n_tokens", "n_held", "logs", "inside", "classes", "pieces").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_held long, logs double, score double")

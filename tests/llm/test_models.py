@@ -264,3 +264,57 @@ def test_long_texts_score_in_parts_like_whole(monkeypatch):
     assert np.array_equal(rows, toxicity.rows_of(text))
     peaks, at = m.peaks(rows, np.array([0, len(rows)]), places=True)
     assert m.top(peaks)[0] == pytest.approx(whole, abs=1e-6) and np.array_equal(at[0], np.concatenate([a for _, a, _ in where]))
+
+
+def spelled(text, known):
+    """Classes and cells of a text, of whose words only ``known`` are in the vocabulary, and natural logarithms of the cells' shares."""
+    hash_of = lambda w: lm_score.word_hashes(*lm_score.spans([w.encode()])[:3])[0]
+    v = lm_score.Vocabulary.of(np.array([*map(hash_of, known), lm_score.END]), np.full(len(known) + 1, 9), np.zeros(len(known) + 1, np.int8), 9)
+    x, _ = lm_score.Subwords.both([text.encode()], v, np.zeros(1, np.uint64))
+    return x.classes, x.pieces, lm_score.cell_logs(np.bincount(x.pieces.ravel(), minlength=lm_score.CELLS).astype(float)) * math.log(10)
+
+
+def test_gradients_of_bytes():
+    r = np.random.default_rng(3)
+    text = " ".join(r.choice(["the", "of", "Zoë", "x", "wxyz", "日本", "a1b2c3"], 60))
+    classes, cells, logs = spelled(text, ["the", "of"])
+    m = {k: v.astype(np.float64) for k, v in lm_score.fresh().items()}
+    inputs, targets, place = lm_score.windows(classes, np.array([0, len(classes)]), lm_score.piece_inputs(classes, cells))
+    pieces = lm_score.Pieces(classes, cells)(targets, place)
+    assert len(pieces[0]) == len(cells) > 60
+    g = lm_score.gradients(m, inputs, targets, place >= 0, pieces, logs)
+    loss = lambda: -(lm_score.log_class(m, inputs, targets, pieces, logs)[place >= 0] * math.log(10)).mean()
+    for k, at in (("one", (2, 120)), ("one", (5, 0xE6)), ("two", (3, 256)), ("two", (1, ord("b"))), ("embed", (lm_score.PAD + 1 + ord("z"), 2)), ("v", (3, 4)), ("out", (1, 1)), ("up", (2, 2))):
+        held, sides = m[k][at], []
+        for h in (1e-5, -1e-5):
+            m[k][at] = held + h
+            sides.append(loss())
+        m[k][at] = held
+        assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(float(g[k][at]), abs=2e-6) and g[k][at] != 0
+
+
+def test_bytes_follow_the_words_before_them():
+    """Counts of bytes within a word give each of two words one half; what stands before tells which it is."""
+    classes, cells, logs = spelled("the ax of bx " * 200, ["the", "of"])
+    inputs, targets, place = lm_score.windows(classes, np.array([0, len(classes)]), lm_score.piece_inputs(classes, cells))
+    pieces = lm_score.Pieces(classes, cells)(targets, place)
+    share = lambda m: (lm_score.log_class(m, inputs, targets, pieces, logs) - lm_score.log_class(m, inputs, targets)).ravel()[pieces[0]].mean()
+    start = lm_score.fresh(np.bincount(classes, minlength=lm_score.CLASSES))
+    assert share(start) == pytest.approx(math.log10(0.5), abs=0.02)
+    fitted, seen = lm_score.fit_chunks(start, iter([(classes.tobytes(), cells.tobytes())] * 300), logs)
+    assert seen == 300 * len(inputs) and share(fitted) > math.log10(0.9)
+
+
+def test_chunks_take_their_own_pieces(spark, monkeypatch):
+    """A text of several chunks is fitted on with the cells of each chunk's pieces."""
+    classes, cells, logs = spelled("the ax of bx zzz " * 30, ["the", "of"])
+    assert lm_score._chunked(classes) == []
+    monkeypatch.setattr(lm_score, "CHUNK", 100)
+    at = lm_score._chunked(classes)
+    assert len(at) == -(-len(classes) // 100) - 1 and at[0] == (classes[:100] >= lm_score.SINGLE + lm_score.SUFFIX).sum()
+    train = spark.createDataFrame([(1, bytearray(classes.tobytes()), bytearray(cells.tobytes()), at)], "key long, classes binary, pieces binary, at array<int>")
+    got = lm_score.fit(train, np.ones(lm_score.CLASSES), 1, 10**9, logs=logs.astype(np.float32))
+    order = {classes[100 * i : 100 * i + 100].tobytes(): cells[a:b].tobytes() for i, (a, b) in enumerate(zip([0, *at], [*at, len(cells)], strict=True))}
+    # the shard takes chunks in the order of their numbers
+    own, _ = lm_score.fit_chunks(lm_score.fresh(np.ones(lm_score.CLASSES)), iter((classes[i : i + 100].tobytes(), order[classes[i : i + 100].tobytes()]) for i in range(0, len(classes), 100)), logs.astype(np.float32))
+    assert all(np.allclose(got[k], own[k], atol=1e-5) for k in own)
