@@ -70,7 +70,7 @@ ROUNDS = 2
 SHARD = 1 << 21
 CHUNK = 1 << 16
 RATE = 0.005
-FIT_BATCH, BATCH = 64, 64
+FIT_BATCH, BATCH = 64, 96
 END = 1 << 40
 SEED = 5
 
@@ -109,11 +109,25 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
-def suffix_class(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def _last_two(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A word's last two bytes, the first of them 0 if it has but one."""
+    return np.where(e - s > 1, _lower[data[np.maximum(e - 2, 0)]], 0).astype(np.uint16) << 8 | _lower[data[e - 1]]
+
+
+def _suffix(two: np.ndarray) -> np.ndarray:
     """A word's class if it isn't one of its own: by its last two bytes."""
-    last = _lower[data[e - 1]].astype(U)
-    two = np.where(e - s > 1, _lower[data[np.maximum(e - 2, 0)]], 0).astype(U)
-    return (sh.mix(two << U(8) | last) % U(SUFFIX)).astype(np.int8)
+    return (sh.mix(two.astype(U)) % U(SUFFIX)).astype(np.int8)
+
+
+def suffix_class(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return _suffix(_last_two(data, s, e))
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, where each is first, and how often it is."""
+    found = pa.array(keys).dictionary_encode()
+    number = found.indices.to_numpy()
+    return found.dictionary.to_numpy(), np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)), np.bincount(number)
 
 
 def grouped(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -210,12 +224,16 @@ class Subwords:
     tail_bounds: np.ndarray | None = None
 
     @staticmethod
-    def both(texts: list[bytes], v: Vocabulary, keys: np.ndarray) -> tuple[Subwords, Subwords]:
-        """To be scored, and to be fitted on: there some words, by the numbers ``keys`` of their texts, are spelled."""
+    def both(texts: list[bytes], v: Vocabulary, keys: np.ndarray, trains: np.ndarray | None = None) -> tuple[Subwords, Subwords]:
+        """To be scored, and to be fitted on: there some words, by the numbers ``keys`` of their texts, are spelled, and texts that don't train are empty."""
         data, s, e, text = spans(texts)
         hashes = word_hashes(data, s, e) if len(s) else np.empty(0, np.int64)
         words = (len(texts), data, s, e, text, hashes, v.lookup(hashes))
-        return Subwords.of(words, v), Subwords.of(words, v, keys)
+        fitted = words
+        if trains is not None and not trains.all():
+            own = trains[text]
+            fitted = (len(texts), data, *(x[own] for x in words[2:]))
+        return Subwords.of(words, v), Subwords.of(fitted, v, keys)
 
     @staticmethod
     def of(words: tuple, v: Vocabulary, spell: np.ndarray | None = None) -> Subwords:
@@ -323,16 +341,25 @@ def windows(classes: np.ndarray, bounds: np.ndarray, own: np.ndarray | None = No
     """
     sizes = np.diff(bounds)
     each = (sizes + STRIDE - 1) // STRIDE
-    text = np.repeat(np.arange(len(sizes)), each)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-    first, last = bounds[:-1][text], bounds[1:][text]
-    target = (first + k * STRIDE)[:, None] + np.arange(STRIDE)[None, :]
-    place = np.where(target < last[:, None], target, -1)
-    source = (first + k * STRIDE)[:, None] + np.arange(-(CONTEXT - STRIDE) - 1, STRIDE - 1)[None, :]
-    inside = (source >= first[:, None]) & (source < last[:, None])
-    read = classes if own is None else own
-    inputs = np.where(inside, read[np.clip(source, 0, len(classes) - 1)], np.where(source == first[:, None] - 1, 0, PAD)).astype(np.uint8)
-    return inputs, np.where(place >= 0, classes[np.maximum(place, 0)], 0), place
+    more = CONTEXT - STRIDE
+    # each text at a multiple of STRIDE
+    starts = (np.cumsum(each) - each) * STRIDE
+    n = int(each.sum())
+    at = np.arange(bounds[0], bounds[-1]) + np.repeat(starts - bounds[:-1], sizes)
+    place = np.full(n * STRIDE, -1, np.int64)
+    place[at] = np.arange(bounds[0], bounds[-1])
+    place = place.reshape(n, STRIDE)
+    targets = np.zeros(n * STRIDE, classes.dtype)
+    targets[at] = classes[bounds[0] : bounds[-1]]
+    # what is read is one place later; a text's first window sees nothing before the end's class
+    read = np.full((n + 1) * STRIDE + more, PAD, np.uint8)
+    read[at + more + 1] = (classes if own is None else own)[bounds[0] : bounds[-1]]
+    full = each > 0
+    first = starts[full] // STRIDE
+    inputs = read[(np.arange(n) * STRIDE)[:, None] + np.arange(CONTEXT)[None, :]]
+    inputs[first, :more] = PAD
+    inputs[first, more] = 0
+    return inputs, targets.reshape(n, STRIDE), place
 
 
 _ones = np.ones(1 << 13, np.float32)
@@ -564,9 +591,9 @@ def count(docs: DataFrame) -> DataFrame:
                 texts_seen += len(texts)
                 if len(s):
                     held.append(word_hashes(data, s, e))
-                    classes.append(suffix_class(data, s, e))
-            keys, at, n = np.unique(np.concatenate(held), return_index=True, return_counts=True) if held else (np.empty(0, np.int64),) * 3
-            suffix = np.concatenate(classes)[at] if held else np.empty(0, np.int8)
+                    classes.append(_last_two(data, s, e))
+            keys, at, n = _counted(np.concatenate(held)) if held else (np.empty(0, np.int64),) * 3
+            suffix = _suffix(np.concatenate(classes)[at]) if held else np.empty(0, np.int8)
             keys, n, suffix = np.append(keys, END), np.append(n, texts_seen), np.append(suffix, np.int8(0))
             for i in range(0, len(keys), 1 << 17):
                 w = slice(i, i + (1 << 17))
@@ -626,7 +653,7 @@ def sequences(docs: DataFrame, vocabulary) -> DataFrame:
             for first, texts in grouped(texts_of(b)):
                 key, n = np.array([xxhash.xxh64_intdigest(t) for t in texts], U), len(texts)
                 trains = ~np.asarray(b.column("held_out").slice(first, n).to_pylist(), bool)
-                x, y = Subwords.both(texts, v, key)
+                x, y = Subwords.both(texts, v, key, trains)
                 cut_ = lambda a, at: pa.array([a[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
                 tail = pa.ListArray.from_arrays(pa.array(x.tail_bounds.astype(np.int32)), pa.array(x.tail))
                 fitted = [pc.if_else(pa.array(trains), a, pa.nulls(n, pa.binary())) for a in (cut_(y.classes, y.bounds), cut_(y.pieces, y.piece_bounds))]
@@ -739,9 +766,8 @@ def lm_score(docs: DataFrame, rounds: int = ROUNDS, shard: int = SHARD, most: in
                     cells = np.frombuffer(b"".join(spelled[first:last]), np.int32).reshape(-1, 2)
                     pieces, score = Pieces(classes, cells), np.zeros(len(classes))
                     inputs, targets, place = windows(classes, bounds, piece_inputs(classes, cells))
-                    for j in range(0, len(inputs), BATCH):
-                        p, t = place[j : j + BATCH], targets[j : j + BATCH]
-                        score[p[p >= 0]] = log_class(m, inputs[j : j + BATCH], t, pieces(t, p), logs)[p >= 0]
+                    found = [log_class(m, inputs[j : j + BATCH], targets[j : j + BATCH], pieces(targets[j : j + BATCH], place[j : j + BATCH]), logs) for j in range(0, len(inputs), BATCH)]
+                    score[place[place >= 0]] = np.concatenate(found)[place >= 0]
                     out[first:last] = np.add.reduceat(score, bounds[:-1])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "held_out", "n_tokens", "n_held", "logs")), pa.array(out + part.column("inside").to_numpy())], ["row", "doc_id", "held_out", "n_tokens", "n_held", "logs", "score"])
 
