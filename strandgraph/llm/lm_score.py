@@ -34,7 +34,7 @@ bounded table, at most ``HEAD``) are looked up in the task; the others are joine
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +50,8 @@ from strandgraph.llm.common import cut, documents, stored, texts_of
 U = np.uint64
 #: Entries of the broadcast table of words, at most: 17 bytes each.
 HEAD = 400_000
+#: Words that a task holds before it counts them, about.
+WORDS = 1 << 22
 #: Of each word's training occurrences, how many count as an unseen word's.
 DISCOUNT = 0.75
 #: Classes: the end, then the most frequent words, then words by suffix, then pieces.
@@ -61,6 +63,8 @@ INPUTS = 256
 ROWS = 8192
 FIRST = ROWS * 256
 CELLS = FIRST + ROWS * 257
+#: Cells whose counts go to the driver in one row.
+BLOCK = 1 << 12
 #: Weight of the byte's probability without context.
 BACKOFF = 2.0
 WIDTH, HIDDEN = 16, 16
@@ -87,7 +91,7 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if not len(data):
         none = np.empty(0, np.int64)
         return data, none, none, none
-    solid = ~sh._space[data]
+    solid = (data != 32) & (data - np.uint8(9) > 4)  # all others of white space are 9 to 13; below 9 it wraps around
     start, stop = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     stop[:-1] &= ~solid[1:]
@@ -98,10 +102,17 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, s, e, np.searchsorted(ends, s, side="right")
 
 
+#: ``shingles._value`` of both bytes of each pair: looked up faster than byte by byte.
+_values = np.stack([np.tile(sh._value, 256), np.repeat(sh._value, 256)], axis=1)
+
+
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     up, down = sh._power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(sh._value[data] * up[: len(data)], out=sums[1:])
+    sums, even = np.zeros(len(data) + 1, U), len(data) & ~1
+    np.take(_values, data[:even].view("<u2"), axis=0, out=sums[1 : even + 1].reshape(-1, 2), mode="clip")
+    sums[even + 1 :] = sh._value[data[even:]]
+    sums[1:] *= up[: len(data)]
+    np.cumsum(sums, out=sums)
     return sh.mix((sums[e] - sums[s]) * down[s]).view(np.int64)
 
 
@@ -109,6 +120,14 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """``_lower`` of all bytes, and a 0 after them."""
+    out = np.zeros(len(data) + 1, np.uint8)
+    np.left_shift((data - np.uint8(65) < 26).view(np.uint8), 5, out=out[:-1])
+    out[:-1] += data
+    return out
+
+
 def _last_two(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A word's last two bytes, the first of them 0 if it has but one."""
     return np.where(e - s > 1, _lower[data[np.maximum(e - 2, 0)]], 0).astype(np.uint16) << 8 | _lower[data[e - 1]]
@@ -148,7 +167,7 @@ def grouped(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 class Lookup:
     """Sorted keys; frequent ones are found through a direct-mapped table first."""
 
-    BITS = 17
+    BITS = 19
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys, kind="stable")
@@ -228,20 +247,21 @@ class Subwords:
         """To be scored, and to be fitted on: there some words, by the numbers ``keys`` of their texts, are spelled, and texts that don't train are empty."""
         data, s, e, text = spans(texts)
         hashes = word_hashes(data, s, e) if len(s) else np.empty(0, np.int64)
-        words = (len(texts), data, s, e, text, hashes, v.lookup(hashes))
+        words = (len(texts), _folded(data), s, e, text, hashes, v.lookup(hashes))
         fitted = words
         if trains is not None and not trains.all():
             own = trains[text]
-            fitted = (len(texts), data, *(x[own] for x in words[2:]))
+            fitted = (*words[:2], *(x[own] for x in words[2:]))
         return Subwords.of(words, v), Subwords.of(fitted, v, keys)
 
     @staticmethod
     def of(words: tuple, v: Vocabulary, spell: np.ndarray | None = None) -> Subwords:
-        k, data, s, e, text, hashes, at = words
+        k, folded, s, e, text, hashes, at = words
         known = at >= 0
         cls = np.where(known, v.class_of[at], -1) if len(v.n) else np.full(len(at), -1)
         if spell is not None and len(v.n):
-            place = np.arange(len(s)) - np.searchsorted(text, text)
+            n = np.bincount(text, minlength=k)
+            place = np.arange(len(s)) - (np.cumsum(n) - n)[text]
             chance = (sh.mix(spell[text] + place.astype(U) * U(sh.BASE)) >> U(11)) * 2.0**-53
             cls = np.where(known & (chance * v.n[at] < DISCOUNT), -1, cls)
         whole = cls >= 0
@@ -251,7 +271,6 @@ class Subwords:
         units = cls[word]
         spelled = np.flatnonzero(units < 0)
         begin = s[word[spelled]] + 2 * place[spelled]
-        folded = np.append(_lower[data], np.uint8(0))
         one, pair = folded[begin].astype(np.int64), e[word[spelled]] - begin > 1
         starts = place[spelled] == 0
         units[spelled] = SINGLE + SUFFIX + 4 * starts + (one >> 6)
@@ -363,6 +382,8 @@ def windows(classes: np.ndarray, bounds: np.ndarray, own: np.ndarray | None = No
 
 
 _ones = np.ones(1 << 13, np.float32)
+#: The largest number whose exponential is taken as it is, and the least sum of a row's exponentials.
+MOST, LEAST = 80.0, 1e-25
 
 
 def _sums(a: np.ndarray) -> np.ndarray:
@@ -370,9 +391,23 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return a @ _ones[: a.shape[-1]].astype(a.dtype, copy=False)
 
 
-def _below(x: np.ndarray, w: np.ndarray, b: np.ndarray | float = 0.0, most: float = 80) -> bool:
-    """Whether no number of ``x @ w + b`` can be further from 0 than ``most``, by the lengths of rows and columns: then no exponential overflows."""
-    return math.sqrt(float(_sums(x * x).max(initial=0)) * float((w * w).sum(axis=0).max())) + float(np.abs(b).max()) < most
+def _exps(make: Callable[[], np.ndarray], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Exponentials of the rows of ``make()``, new each time, their sums, and of each row the number at ``own`` before.
+
+    The largest number of each row is taken off only if one overflows or all of a row vanish: to find it takes longer than the exponentials.
+    """
+    x = make()
+    if x.max(initial=0) < MOST:
+        held = None if own is None else x[np.arange(len(x)), own]
+        np.exp(x, out=x)
+        sums = _sums(x)
+        if sums.min(initial=1) > LEAST:
+            return x, sums, held
+        x = make()
+    x -= x.max(axis=-1, keepdims=True)
+    held = None if own is None else x[np.arange(len(x)), own]
+    np.exp(x, out=x)
+    return x, _sums(x), held
 
 
 def forward(m: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarray]:
@@ -382,17 +417,19 @@ def forward(m: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarra
     tq, tk = embed @ m["q"] * (1 / math.sqrt(WIDTH)), embed @ m["k"]
     x, q, k, v = embed.take(at, 0), tq.take(own, 0), tk.take(at, 0), (embed @ m["v"]).take(at, 0)
     xq = x[:, CONTEXT - STRIDE :]
-    a = q @ k.transpose(0, 2, 1)
-    near = m["near"][_distance]
-    a += near + _causal
+    near = m["near"][_distance] + _causal
     begins = np.flatnonzero(inputs[:, 0] == PAD)
-    if len(begins):
-        a[begins] += np.where(inputs[begins] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+    hidden = np.where(inputs[begins] == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
+
+    def asked() -> np.ndarray:
+        a = q @ k.transpose(0, 2, 1)
+        a += near
+        a[begins] += hidden
+        return a
+
     # a place sees itself, or the end before the text, so no sum of exponentials is empty
-    if not _below(tq, tk.T, m["near"]):
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= _sums(a)[:, :, None]
+    a, sums, _ = _exps(asked)
+    a /= sums[:, :, None]
     y = a @ v
     y += xq
     flat = y.reshape(-1, WIDTH)
@@ -402,50 +439,63 @@ def forward(m: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarra
     z1 = np.empty((len(r), WIDTH + 1), r.dtype)  # and a one, for the bias
     z1[:, WIDTH] = 1
     z = np.add(r @ m["down"], flat, out=z1[:, :WIDTH])
-    logits = z1 @ np.concatenate([m["out"], m["out_b"][None]])
-    if not _below(z, m["out"], m["out_b"]):
-        logits -= logits.max(axis=1, keepdims=True)
-    return {"x": x, "q": q, "k": k, "v": v, "a": a, "y": flat, "r": r, "z": z, "z1": z1, "logits": logits}
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "y": flat, "r": r, "z": z, "z1": z1}
+
+
+def class_odds(m: dict[str, np.ndarray], f: dict[str, np.ndarray], targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of what ``forward`` found: exponentials of the classes' log-odds, their sums, and the log-odds of the targets."""
+    w = np.concatenate([m["out"], m["out_b"][None]])
+    return _exps(lambda: f["z1"] @ w, targets.ravel())
 
 
-def byte_odds(m: dict[str, np.ndarray], z: np.ndarray, cells: np.ndarray, logs: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Of pieces predicted from ``z``: log-odds of the first byte, among those that the class leaves, and of the second, and which it is.
+def byte_odds(m: dict[str, np.ndarray], z: np.ndarray, cells: np.ndarray, logs: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pieces in the order of ``Pieces``, predicted from ``z``: exponentials of the log-odds of the first byte, among those that the class leaves, and of the second, their sums, the log-odds of the byte, and which it is.
 
     ``logs``: natural logarithms of the cells' shares.
     """
-    prior, group = logs[:FIRST].reshape(-1, 64).take(cells[:, 0] >> 6, 0), (cells[:, 0] >> 6) & 3
-    odds = np.empty((len(z), 64), z.dtype)
-    for at, w in _groups(group):
-        odds[at] = z[at] @ m["one"][:, w]
-    two = cells[:, 1] - FIRST
-    for name, x, prior, own in (("one", odds, prior, cells[:, 0] & 63), ("two", z @ m["two"], logs[FIRST:].reshape(-1, 257).take(two // 257, 0), two % 257)):
-        x += prior
-        if not _below(z, m[name]):  # of a context's shares the largest is at least 1 in 257
-            x -= x.max(axis=1, keepdims=True)
-        yield name, x, own
-
-
-def _groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
-    """Pieces by the two highest bits of their first byte, and the columns of ``one`` for the bytes that have them."""
+    one, (row, two) = cells[:, 0], np.divmod(cells[:, 1] - FIRST, 257)
+
+    def first() -> np.ndarray:
+        x = np.empty((len(z), 64), z.dtype)
+        for at, w in _groups(one):
+            x[at] = z[at] @ m["one"][:, w]
+        x += logs[:FIRST].reshape(-1, 64).take(one >> 6, 0)
+        return x
+
+    def second() -> np.ndarray:
+        x = z @ m["two"]
+        x += logs[FIRST:].reshape(-1, 257).take(row, 0)
+        return x
+
+    yield "one", *_exps(first, one & 63), one & 63
+    yield "two", *_exps(second, two), two
+
+
+def _group(one: np.ndarray) -> np.ndarray:
+    """The two highest bits of a piece's first byte."""
+    return ((one >> 6) & 3).astype(np.uint8)
+
+
+def _groups(one: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Pieces by their group, in whose order they are, and the columns of ``one`` for the bytes that have these bits."""
+    at = np.searchsorted(_group(one), _four)
     for k in range(4):
-        at = np.flatnonzero(group == k)
-        if len(at):
-            yield at, slice(64 * k, 64 * k + 64)
+        if at[k + 1] > at[k]:
+            yield slice(at[k], at[k + 1]), slice(64 * k, 64 * k + 64)
+
+
+_four = np.arange(5, dtype=np.uint8)
 
 
 def log_class(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, pieces: tuple[np.ndarray, np.ndarray] | None = None, logs: np.ndarray | None = None) -> np.ndarray:
     """log10 probability of each target's class; with ``pieces``, the places of piece targets and their cells, of its bytes too."""
     f = forward(m, inputs)
-    logits = f["logits"]
-    out = logits[np.arange(len(logits)), targets.ravel()]
-    np.exp(logits, out=logits)
-    out -= np.log(_sums(logits))
+    _, sums, out = class_odds(m, f, targets)
+    out -= np.log(sums)
     if pieces is not None and len(pieces[0]):
         at, cells = pieces
-        for _, odds, own in byte_odds(m, f["z"][at], cells, logs):
-            held = odds[np.arange(len(at)), own]
-            np.exp(odds, out=odds)
-            out[at] += held - np.log(_sums(odds))
+        for _, _, sums, held, _ in byte_odds(m, f["z"][at], cells, logs):
+            out[at] += held - np.log(sums)
     return (out / math.log(10)).reshape(targets.shape)
 
 
@@ -453,33 +503,36 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     """Of the mean negative log probability of the valid targets' classes and, with ``pieces``, of their bytes."""
     f = forward(m, inputs)
     b, s = targets.shape
-    p = f["logits"]
-    np.exp(p, out=p)
+    p, sums, _ = class_odds(m, f, targets)
     share = valid.ravel().astype(p.dtype) / p.dtype.type(max(valid.sum(), 1))
     # rows of p aren't divided by their sums; what they are multiplied with is
-    sums = _sums(p)
     p[np.arange(len(p)), targets.ravel()] -= sums
     part = (share / sums)[:, None]
     out = (f["z1"] * part).T @ p
     g = {"out": out[:WIDTH], "out_b": out[WIDTH]}
     dz = p @ m["out"].T
     dz *= part
-    g["one"], g["two"] = np.zeros_like(m["one"]), np.zeros_like(m["two"])
     if pieces is not None and len(pieces[0]):
         at, cells = pieces
-        z, n = f["z"][at], len(at)
-        for name, odds, own in byte_odds(m, z, cells, logs):
-            np.exp(odds, out=odds)
-            sums = _sums(odds)
-            odds[np.arange(n), own] -= sums
-            part = (share[at] / sums)[:, None]
+        z, n, of = f["z"][at], np.arange(len(at)), share[at]
+        more = np.zeros_like(z)
+        for name, odds, sums, _, own in byte_odds(m, z, cells, logs):
+            odds[n, own] -= sums
+            part = (of / sums)[:, None]
+            zs, w = z * part, m[name]
             if name == "two":
-                g[name] = (z * part).T @ odds
-                dz[at] += odds @ m[name].T * part
+                g[name] = zs.T @ odds
+                back = odds @ w.T
             else:
-                for of, w in _groups((cells[:, 0] >> 6) & 3):
-                    g[name][:, w] = (z * part)[of].T @ odds[of]
-                    dz[at[of]] += odds[of] @ m[name][:, w].T * part[of]
+                g[name], back = np.zeros_like(w), np.empty_like(z)
+                for i, c in _groups(cells[:, 0]):
+                    g[name][:, c] = zs[i].T @ odds[i]
+                    back[i] = odds[i] @ w[:, c].T
+            back *= part
+            more += back
+        dz[at] += more
+    else:
+        g["one"], g["two"] = np.zeros_like(m["one"]), np.zeros_like(m["two"])
     dr = dz @ m["down"].T
     dr *= f["r"] > 0
     g["down"], g["up"], g["up_b"] = f["r"].T @ dz, f["y"].T @ dr, dr.sum(axis=0)
@@ -518,17 +571,27 @@ class Adam:
         self.rate, self.t, self.flat = rate, 0, _flat(m)
         self.m = _views(self.flat)
         self.one, self.two = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.held = np.empty_like(self.flat)
 
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        g_ = _flat(g)
-        self.one += 0.1 * (g_ - self.one)
-        self.two += 0.01 * (g_ * g_ - self.two)
-        self.flat -= self.rate / (1 - 0.9**self.t) * self.one / (np.sqrt(self.two / (1 - 0.99**self.t)) + 1e-8)
+        g_, held = _flat(g), self.held
+        self.one *= 0.9
+        self.one += np.multiply(g_, 0.1, out=held)
+        self.two *= 0.99
+        g_ *= held
+        g_ *= 0.1  # 0.01 of the squares
+        self.two += g_
+        np.sqrt(self.two, out=held)
+        held *= 1 / math.sqrt(1 - 0.99**self.t)
+        held += 1e-8
+        np.divide(self.one, held, out=held)
+        held *= self.rate / (1 - 0.9**self.t)
+        self.flat -= held
 
 
 class Pieces:
-    """Which subwords of a sequence are pieces, and their cells."""
+    """Which subwords of a sequence are pieces, and their cells, in the order of their groups."""
 
     def __init__(self, classes: np.ndarray, cells: np.ndarray):
         self.cells = cells
@@ -538,7 +601,9 @@ class Pieces:
         if self.number is None:
             return None
         at = np.flatnonzero((targets >= SINGLE + SUFFIX) & (place >= 0))
-        return at, self.cells[self.number[place.ravel()[at]]]
+        cells = self.cells.take(self.number[place.ravel()[at]], 0)
+        order = np.argsort(_group(cells[:, 0]), kind="stable")
+        return at[order], cells.take(order, 0)
 
 
 def fit_chunks(m: dict[str, np.ndarray], chunks: Iterator[tuple[bytes, bytes]], logs: np.ndarray | None = None, rate: float = RATE) -> tuple[dict[str, np.ndarray], int]:
@@ -583,21 +648,28 @@ def _read(docs: DataFrame) -> DataFrame:
 def count(docs: DataFrame) -> DataFrame:
     """(key, n, suffix) of words, by hash, over training texts; the end of a text has the key ``END``."""
 
+    def rows(held: list[np.ndarray], twos: list[np.ndarray], ends: int) -> Iterator[pa.RecordBatch]:
+        keys, at, n = _counted(np.concatenate(held)) if held else (np.empty(0, np.int64),) * 3
+        suffix = _suffix(np.concatenate(twos)[at]) if held else np.empty(0, np.int8)
+        keys, n, suffix = np.append(keys, END), np.append(n, ends), np.append(suffix, np.int8(0))
+        for i in range(0, len(keys), 1 << 17):
+            w = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[w]), pa.array(n[w].astype(np.int64)), pa.array(suffix[w])], ["key", "n", "suffix"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, classes, texts_seen = [], [], 0
+            held, twos, ends, words = [], [], 0, 0
             for _, texts in grouped(texts_of(b)):
                 data, s, e, _text = spans(texts)
-                texts_seen += len(texts)
+                ends += len(texts)
                 if len(s):
                     held.append(word_hashes(data, s, e))
-                    classes.append(_last_two(data, s, e))
-            keys, at, n = _counted(np.concatenate(held)) if held else (np.empty(0, np.int64),) * 3
-            suffix = _suffix(np.concatenate(classes)[at]) if held else np.empty(0, np.int8)
-            keys, n, suffix = np.append(keys, END), np.append(n, texts_seen), np.append(suffix, np.int8(0))
-            for i in range(0, len(keys), 1 << 17):
-                w = slice(i, i + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[w]), pa.array(n[w].astype(np.int64)), pa.array(suffix[w])], ["key", "n", "suffix"])
+                    twos.append(_last_two(data, s, e))
+                    words += len(s)
+                if words >= WORDS:
+                    yield from rows(held, twos, ends)
+                    held, twos, ends, words = [], [], 0, 0
+            yield from rows(held, twos, ends)
 
     found = _read(docs).where(~F.col("held_out")).select("text").mapInArrow(run, "key long, n long, suffix byte")
     return found.groupBy("key").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix"))
@@ -667,19 +739,38 @@ def sequences(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def cell_counts(train: DataFrame) -> np.ndarray:
-    """Of all cells, over training texts: as many numbers as there are cells."""
+    """Of all cells, over training texts: as many numbers as there are cells.  Tasks give a row for each block of cells, not for each cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CELLS, np.int64)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
-            n += np.bincount(np.frombuffer(b"".join(b.column("pieces").to_pylist()), np.int32), minlength=CELLS)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["cell", "n"])
-
-    got = train.where(F.octet_length("pieces") > 0).select("pieces").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out
+            for i in range(0, b.num_rows, 256):
+                yield np.frombuffer(b"".join(b.column("pieces").slice(i, 256).to_pylist()), np.int32)
+
+    def rows(n: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for block, x in n.items():
+            some = np.flatnonzero(x)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([some.astype(np.int32).tobytes()]), pa.array([x[some].tobytes()])], ["block", "cells", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(-(-CELLS // BLOCK) * BLOCK, np.int64)
+        for x in sums(batches):
+            np.add.at(n, x, 1)
+        yield from rows(dict(enumerate(n.reshape(-1, BLOCK))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, cells, more in zip(*(b.column(c).to_pylist() for c in ("block", "cells", "n")), strict=True):
+                n.setdefault(block, np.zeros(BLOCK, np.int64))[np.frombuffer(cells, np.int32)] += np.frombuffer(more, np.int64)
+        yield from rows(n)
+
+    schema = "block long, cells binary, n binary"
+    counted = train.where(F.octet_length("pieces") > 0).select("pieces").mapInArrow(count, schema)
+    out = np.zeros(-(-CELLS // BLOCK) * BLOCK)
+    for r in counted.repartition("block").mapInArrow(add, schema).toArrow().to_pylist():  # a row for each block
+        out[r["block"] * BLOCK + np.frombuffer(r["cells"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    return out[:CELLS]
 
 
 def fit(train: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, shard: int = SHARD, rate: float = RATE, logs: np.ndarray | None = None) -> dict[str, np.ndarray]:

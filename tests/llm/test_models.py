@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandgraph.llm import lm_score, toxicity
@@ -144,6 +145,71 @@ def test_every_window_is_fitted_on(spark, monkeypatch):
         assert sum(seen) == sum(-(-n // lm_score.STRIDE) for n in chunks)
 
 
+def test_counts_of_cells_come_in_blocks(spark, monkeypatch):
+    """Neither tasks nor the driver handle a row for each cell: at scale each task has most of them."""
+    r = np.random.default_rng(8)
+    cells = [np.stack([r.integers(0, lm_score.FIRST, n), r.integers(lm_score.FIRST, lm_score.CELLS, n)], axis=1).astype(np.int32) for n in (0, 1, 40, 30_000, 50_000)]
+    train = spark.createDataFrame([(bytearray(c.tobytes()),) for c in [*cells, cells[2]]] + [(None,)], "pieces binary").repartition(3)
+    plain, rows = type(train).toArrow, []
+
+    def watched(self):
+        t = plain(self)
+        rows.append(len(t))
+        return t
+
+    monkeypatch.setattr(type(train), "toArrow", watched)
+    got = lm_score.cell_counts(train)
+    assert np.array_equal(got, np.bincount(np.concatenate([*cells, cells[2]]).ravel(), minlength=lm_score.CELLS))
+    assert (got > 0).sum() > 100_000 and sum(rows) <= -(-lm_score.CELLS // 4096)
+    assert not lm_score.cell_counts(train.limit(0)).any()
+
+
+def test_words_are_counted_a_bounded_number_at_a_time(docs_of, awkward, corpus, monkeypatch):
+    """A task that holds few words gives more rows, but the same counts."""
+    docs, plain, held = docs_of(awkward + corpus).coalesce(1), lm_score._counted, []
+    of = lambda: sorted(map(tuple, lm_score.count(docs).collect()))
+    whole = of()
+    monkeypatch.setattr(lm_score, "WORDS", 100)
+    monkeypatch.setattr(lm_score.sh, "GROUP", 2000)
+    assert of() == whole
+    # in this process, as a task does it
+    monkeypatch.setattr(lm_score, "_counted", lambda keys: held.append(len(keys)) or plain(keys))
+    texts = pa.RecordBatch.from_arrays([pa.array([t for _, t, *_ in corpus])], ["text"])
+
+    class Docs:
+        def __getattr__(self, name):
+            return lambda *a: [b for b in a[0](iter([texts]))] and self if name == "mapInArrow" else self
+
+    monkeypatch.setattr(lm_score, "_read", lambda _: Docs())
+    lm_score.count(None)
+    assert len(held) > 10 and max(held) < 100 + 2000
+
+
+def test_largest_numbers_are_taken_off_only_if_needed():
+    """Rows whose exponentials overflow or vanish have the same shares as rows whose don't; others are left as they are."""
+    r = np.random.default_rng(9)
+    x = r.normal(0, 3, (50, 20)).astype(np.float32)
+    own = r.integers(0, 20, 50)
+    exact = np.exp(x.astype(float)) / np.exp(x.astype(float)).sum(axis=1, keepdims=True)
+    times = []
+    for shift in (0, 60, 200, -200, np.where(np.arange(50) == 7, -500, 0)[:, None]):
+        made = []
+        e, sums, held = lm_score._exps(lambda: made.append(1) or (x + shift).astype(np.float32), own)  # noqa: B023
+        times.append(len(made))
+        assert np.allclose(e / sums[:, None], exact, rtol=1e-3) and np.allclose(held - np.log(sums), np.log(exact[np.arange(50), own]), atol=1e-3)
+    assert times == [1, 1, 1, 2, 2]
+    # after fitting the longest row times the longest column is over the limit, but no number is: they stay as they are
+    m = lm_score.fresh()
+    inputs, targets, _ = lm_score.windows(r.integers(0, lm_score.CLASSES, 100), np.array([0, 3, 60, 100]))
+    m["out"] *= 60 / (lm_score.forward(m, inputs)["z"] @ m["out"]).max()
+    f = lm_score.forward(m, inputs)
+    assert np.linalg.norm(f["z"], axis=1).max() * np.linalg.norm(m["out"], axis=0).max() > lm_score.MOST
+    odds = f["z"] @ m["out"] + m["out_b"]
+    _, sums, held = lm_score.class_odds(m, f, targets)
+    assert np.allclose(held, odds[np.arange(len(odds)), targets.ravel()], atol=1e-4)
+    assert np.allclose((held - np.log(sums)) / math.log(10), lm_score.log_class(m, inputs, targets).ravel(), atol=1e-5)
+
+
 def toxic_rows(n=600):
     r = np.random.default_rng(4)
     words = [f"word{k}" for k in range(300)]
