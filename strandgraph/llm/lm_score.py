@@ -318,6 +318,8 @@ SHAPES = {
 PAD = CLASSES
 _distance = np.arange(CONTEXT - STRIDE, CONTEXT)[:, None] - np.arange(CONTEXT)[None, :]
 _causal = np.where(_distance >= 0, 0, -1e9).astype(np.float32)
+_seen = np.flatnonzero(_distance >= 0)
+_seen_at = _distance.ravel()[_seen]
 _distance = np.maximum(_distance, 0)
 
 
@@ -442,16 +444,16 @@ def forward(m: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarra
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "y": flat, "r": r, "z": z, "z1": z1}
 
 
-def class_odds(m: dict[str, np.ndarray], f: dict[str, np.ndarray], targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of what ``forward`` found: exponentials of the classes' log-odds, their sums, and the log-odds of the targets."""
+def class_odds(m: dict[str, np.ndarray], f: dict[str, np.ndarray], targets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of what ``forward`` found: exponentials of the classes' log-odds, their sums, and the log-odds of ``targets``."""
     w = np.concatenate([m["out"], m["out_b"][None]])
-    return _exps(lambda: f["z1"] @ w, targets.ravel())
+    return _exps(lambda: f["z1"] @ w, None if targets is None else targets.ravel())
 
 
-def byte_odds(m: dict[str, np.ndarray], z: np.ndarray, cells: np.ndarray, logs: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def byte_odds(m: dict[str, np.ndarray], z: np.ndarray, cells: np.ndarray, logs: np.ndarray, held: bool = True) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
     """Of pieces in the order of ``Pieces``, predicted from ``z``: exponentials of the log-odds of the first byte, among those that the class leaves, and of the second, their sums, the log-odds of the byte, and which it is.
 
-    ``logs``: natural logarithms of the cells' shares.
+    ``logs``: natural logarithms of the cells' shares; ``held``: whether the log-odds of the byte are asked for.
     """
     one, (row, two) = cells[:, 0], np.divmod(cells[:, 1] - FIRST, 257)
 
@@ -467,8 +469,8 @@ def byte_odds(m: dict[str, np.ndarray], z: np.ndarray, cells: np.ndarray, logs:
         x += logs[FIRST:].reshape(-1, 257).take(row, 0)
         return x
 
-    yield "one", *_exps(first, one & 63), one & 63
-    yield "two", *_exps(second, two), two
+    for name, make, own in (("one", first, one & 63), ("two", second, two)):
+        yield name, *_exps(make, own if held else None), own
 
 
 def _group(one: np.ndarray) -> np.ndarray:
@@ -503,7 +505,7 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     """Of the mean negative log probability of the valid targets' classes and, with ``pieces``, of their bytes."""
     f = forward(m, inputs)
     b, s = targets.shape
-    p, sums, _ = class_odds(m, f, targets)
+    p, sums, _ = class_odds(m, f)
     share = valid.ravel().astype(p.dtype) / p.dtype.type(max(valid.sum(), 1))
     # rows of p aren't divided by their sums; what they are multiplied with is
     p[np.arange(len(p)), targets.ravel()] -= sums
@@ -516,7 +518,7 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         at, cells = pieces
         z, n, of = f["z"][at], np.arange(len(at)), share[at]
         more = np.zeros_like(z)
-        for name, odds, sums, _, own in byte_odds(m, z, cells, logs):
+        for name, odds, sums, _, own in byte_odds(m, z, cells, logs, held=False):
             odds[n, own] -= sums
             part = (of / sums)[:, None]
             zs, w = z * part, m[name]
@@ -535,7 +537,7 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         g["one"], g["two"] = np.zeros_like(m["one"]), np.zeros_like(m["two"])
     dr = dz @ m["down"].T
     dr *= f["r"] > 0
-    g["down"], g["up"], g["up_b"] = f["r"].T @ dz, f["y"].T @ dr, dr.sum(axis=0)
+    g["down"], g["up"], g["up_b"] = f["r"].T @ dz, f["y"].T @ dr, np.ones(len(dr), dr.dtype) @ dr
     dz += dr @ m["up"].T
     dy = dz.reshape(b, s, WIDTH)
     a = f["a"]
@@ -543,7 +545,7 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     da = dy @ f["v"].transpose(0, 2, 1)
     da -= _sums(dy * (f["y"].reshape(b, s, WIDTH) - f["x"][:, CONTEXT - STRIDE :]))[:, :, None]  # what da gives on average over a
     da *= a
-    g["near"] = np.bincount(_distance.ravel(), weights=np.where(_causal < 0, 0, da.sum(axis=0)).ravel(), minlength=CONTEXT).astype(p.dtype)
+    g["near"] = np.bincount(_seen_at, weights=da.sum(axis=0).ravel()[_seen], minlength=CONTEXT).astype(p.dtype)
     dq, dk = da @ f["k"], da.transpose(0, 2, 1) @ f["q"]
     scale = p.dtype.type(1 / math.sqrt(WIDTH))
     x, xq, flat = f["x"].reshape(-1, WIDTH), f["x"][:, CONTEXT - STRIDE :].reshape(-1, WIDTH), lambda d: d.reshape(-1, WIDTH)
