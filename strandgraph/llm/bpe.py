@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandgraph.llm.common import documents, texts_of
+from strandgraph.llm.common import bound_batches, documents, memos, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of a worker's memo, about, and of its largest entry: longer units and pretokens aren't held.
@@ -201,6 +201,9 @@ def coder(path: str) -> Coder:
     return Coder(load(path))
 
 
+memos += [coder.cache_clear, load.cache_clear]
+
+
 def round_trip(text: str | None, path: str) -> tuple[str, bytes]:
     """Ids as ",id,id..." and the bytes that decoding them gives."""
     c = coder(path)
@@ -221,6 +224,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     are encoded each; other columns are not read.
     """
     path = path or public_tokenizers.path(VOCABULARY)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -239,6 +243,7 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     import pyarrow as pa
 
     path = path or public_tokenizers.path(VOCABULARY)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +69,33 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Bytes of a batch of rows that goes to a Python worker, about; a longer row is a batch of its own.
+BATCH = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on batches of this session that go to Python hold about ``BATCH`` bytes; a smaller bound of the session's stays.
+
+    By rows alone a batch has 10,000 texts or pairs of them, which each running task
+    holds several times outside the JVM's heap.  The plan runs after its function has returned, so the setting stays.
+    """
+    held = spark.conf.get(BATCH_CONF, None)
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) if held else 0
+    if not 0 < size <= BATCH:
+        spark.conf.set(BATCH_CONF, str(BATCH))
+
+
+#: What empties the memos that operators keep in a Python worker.
+memos: list[Callable[[], None]] = []
+
+
+def drop_memos() -> None:
+    """Empty this worker's memos: Spark reuses workers, and an operator without memos has no use for those of one before it."""
+    for empty in memos:
+        empty()
+
+
 def texts_of(batch, column: str = "text", rows: int = 64) -> Iterator[str | None]:
     """The texts of an Arrow batch, a few as Python strings at a time."""
     held = batch.column(column)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandgraph.checkpoints import checkpoint_dir
-from strandgraph.llm.common import broadcast_if_small, cut, documents, release, texts_of
+from strandgraph.llm.common import bound_batches, broadcast_if_small, cut, documents, drop_memos, release, texts_of
 from strandgraph.llm.shingles import U, linked, mix, shingle_sets
 
 PERCENT = 75
@@ -73,6 +73,7 @@ def sketches(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     by = _multipliers(trees)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
         for b in batches:
             n, one, two, pools = [], [], [], []
             for s in shingle_sets(texts_of(b)):
@@ -151,6 +152,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) ->
     texts = docs.sparkSession.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
         held: tuple[int | None, np.ndarray] = (None, np.empty(0, U))
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -298,6 +300,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL,
     one to four words are one shingle; rows that repeat a doc_id belong to that id's component;
     null ids are alone and kept; an empty table gives an empty result; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     trees, depth = tree_count(recall, percent, branch, levels), levels + branch - 1
     sketched = cut(sketches(docs, trees, depth))
     members = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -3,6 +3,8 @@
 import re
 
 import duckdb
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_exact_dedup import brute as exact
@@ -10,7 +12,7 @@ from test_near_dedup import brute as near
 from test_quality import counts
 
 import corpus_pipeline
-from strandgraph.llm import registry
+from strandgraph.llm import bpe, common, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +99,17 @@ def test_the_longest_of_equal_texts_stays(spark, docs_of):
     rows = [(7, "a b c"), (7, "a  b  c"), (3, "a b c"), (9, None), (8, "")]
     left = corpus_pipeline.exact_stage(spark, docs_of(rows), "").collect()
     assert sorted((r["doc_id"], r["text"]) for r in left) == [(7, "a  b  c"), (8, "")]
+
+
+def test_batches_to_python_are_bounded(spark, docs_of):
+    """Rows go to Python in batches of bounded bytes, and near_dedup's workers hold no memo of the encoder."""
+    docs = docs_of([(i, f"w{i} " * 20) for i in range(300)]).withColumn("text", F.repeat("text", 1000)).coalesce(1)
+    for operator in (corpus_pipeline.near_stage, corpus_pipeline.encoding_stage):
+        spark.conf.unset(common.BATCH_CONF)
+        operator(spark, docs_of([(1, "a b c d e f")]), "").collect()
+        got = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert max(r["n"] for r in got) <= common.BATCH + 200_000 < sum(r["n"] for r in got)
+    bpe.round_trip("some text", public_tokenizers.path(bpe.VOCABULARY))
+    assert bpe.coder.cache_info().currsize
+    common.drop_memos()
+    assert not bpe.coder.cache_info().currsize and not bpe.load.cache_info().currsize
