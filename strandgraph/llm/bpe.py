@@ -1,9 +1,10 @@
 """Byte-level BPE: encode with a priority queue over a linked symbol list, decode by concatenation.
 
-A text is cut into *units*, a run of ASCII white space and the run of other
-characters after it.  A pretoken never crosses the place where a character that
-isn't white space is followed by white space, so units are encoded alone and
-their ids are memoised.  The memo is bounded in bytes; that never changes results.
+A text is cut into *units* that are encoded alone, and their ids are memoised: the
+pretokens themselves if the text has plain characters only, else a run of ASCII
+white space and the run of other characters after it.  A pretoken never crosses the
+place where a character that isn't white space is followed by white space.  The memo
+is bounded in bytes; that never changes results.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -28,13 +30,26 @@ VOCABULARY = "byte_bpe_50k.json"
 MEMO = 80 << 20
 LARGEST = 1 << 10
 OVERHEAD = 200
-PLACE = (1 << 40) - 1
+#: Bits of a place in ``Bpe.merge``'s queue: with 16 bits of a rank a number of one digit in CPython; for longer pretokens.
+PLACE = 14
+FAR = 40
+PLACES = range(1 << PLACE)
 UNIT = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space beyond ASCII (fixed values): such texts are cut by the full pattern at once.
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Outside these blocks letter and number classes depend on the Unicode version, so the library's own splitter is asked.
 VERSIONED = re.compile("[^\x00-\u0557\u2000-\u2070\u2100-\u218f\u3000-\u9fff\uac00-\ud7a3\uff00-\uffef]")
 
+#: Letters, numbers and white space among the plain characters, those whose classes are fixed and written out here.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+SPACES = "\t-\r \x85\xa0"
+OTHER = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
+#: ``public_tokenizers.PATTERN`` over plain characters, for the standard library's faster ``re``.
+PLAIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: Certainly one pretoken.
+WORD = re.compile(f" ?(?:[{LETTERS}]+|[{NUMBERS}]+)")
+
 
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in a byte-level vocabulary file: itself if printable, else 256 and up in order."""
@@ -59,15 +74,13 @@ class Bpe:
         vocab = held["model"]["vocab"]
         self.bytes_of: dict[int, bytes] = {i: bytes(map(raw.__getitem__, s)) for s, i in vocab.items()}
         self.single = [vocab[c] for c in byte_letters()]
-        # a pair is one number, left << 20 | right
-        self.rank: dict[int, int] = {}
-        self.pair: list[int] = []
         self.merged: list[int] = []
+        self.rank: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(held["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pair.append(vocab[a] << 20 | vocab[b])
             self.merged.append(vocab[a + b])
-            self.rank.setdefault(self.pair[-1], rank)
+            self.rank.setdefault((vocab[a], vocab[b]), rank)
+        self.tables: dict[int, tuple[list[list[int]], list[dict[int, int]]]] = {}
         self.special = {x["content"]: x["id"] for x in held.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -75,49 +88,67 @@ class Bpe:
         self.path = path
         self._library = None
 
+    def ranks(self, bits: int) -> tuple[list[list[int]], list[dict[int, int]]]:
+        """Ranks ``<< bits`` by left and right byte (-1: none) and by left and right id; the last row is that of no symbol."""
+        if bits not in self.tables:
+            none: dict[int, int] = {}
+            rows = [none] * (max(self.bytes_of) + 2)
+            for (left, right), r in self.rank.items():
+                if rows[left] is none:
+                    rows[left] = {}
+                rows[left][right] = r << bits
+            self.tables[bits] = [[rows[a].get(b, -1) for b in self.single] for a in self.single], rows
+        return self.tables[bits]
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pretoken: the lowest-ranked adjacent pair first, leftmost among equals.
 
-        The queue holds ``rank << 40 | place``; an entry whose place no longer has that rank's pair is stale and skipped.
+        The queue holds ``rank << bits | place``.  ``now`` has the entry of the pair that begins at each place, negative if
+        that has no rank; an entry that differs from it is stale and skipped.
         """
+        n = len(piece)
+        bits, places = (PLACE, PLACES) if n <= len(PLACES) else (FAR, range(n))
+        first, rows = self.ranks(bits)
+        now = [first[a][b] | i for i, a, b in zip(places, piece, piece[1:])]
+        queue = [x for x in now if x >= 0]
         ids = list(map(self.single.__getitem__, piece))
-        n = len(ids)
-        rank, pair, merged = self.rank.get, self.pair, self.merged
-        queue = []
-        left = ids[0] if n else 0
-        for i in range(1, n):
-            right = ids[i]
-            r = rank(left << 20 | right)
-            if r is not None:
-                queue.append(r << 40 | i - 1)
-            left = right
         if not queue:
             return ids
         heapq.heapify(queue)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pop, push = heapq.heappop, heapq.heappush
+        # one more place, after the last and before the first, where no symbol is
+        now.append(-1)
+        ids.append(len(rows) - 1)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pop, push, merged, mask = heapq.heappop, heapq.heappush, self.merged, (1 << bits) - 1
         while queue:
             x = pop(queue)
-            i, r = x & PLACE, x >> 40
-            j = after[i]
-            if j >= n or ids[i] << 20 | ids[j] != pair[r]:
+            i = x & mask
+            if now[i] != x:
                 continue
-            one = ids[i] = merged[r]
-            ids[j] = -1
+            j = after[i]
             k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                r = rank(one << 20 | ids[k])
-                if r is not None:
-                    push(queue, r << 40 | i)
+            before[k] = i
+            now[j] = ids[j] = -1
+            one = ids[i] = merged[x >> bits]
+            row, right = rows[one], ids[k]
+            if right in row:
+                x = now[i] = row[right] | i
+                push(queue, x)
+            else:
+                now[i] = -1
             h = before[i]
-            if h >= 0:
-                r = rank(ids[h] << 20 | one)
-                if r is not None:
-                    push(queue, r << 40 | h)
+            row = rows[ids[h]]
+            if one in row:
+                x = now[h] = row[one] | h
+                push(queue, x)
+            else:
+                now[h] = -1
+        ids.pop()
         return [x for x in ids if x >= 0]
 
     def pretokens(self, text: str) -> list[str]:
+        if not OTHER.search(text):
+            return PLAIN.findall(text)
         if VERSIONED.search(text):
             if self._library is None:
                 from tokenizers import Tokenizer
@@ -181,18 +212,32 @@ class Generations(dict):
 
 
 class Coder:
-    """Units to ",id,id..."."""
+    """Units to ",id,id..." and back."""
 
-    def __init__(self, bpe: Bpe, most: int = MEMO):
+    def __init__(self, bpe: Bpe, most: int = MEMO + MEMO // 2):
         self.bpe = bpe
-        merge, name = bpe.merge, [f",{i}" for i in range(max(bpe.bytes_of, default=-1) + 1)].__getitem__
-        self.pieces = Generations(lambda x: "".join(map(name, merge(x.encode()))), most // 2)
-        held, cut = self.pieces.__getitem__, bpe.pretokens
-        self.units = Generations(lambda unit: "".join(map(held, cut(unit))), most)
+        top = max(bpe.bytes_of, default=-1) + 1
+        self.name = [f",{i}" for i in range(top)].__getitem__
+        self.strings = np.empty(top, object)
+        self.strings[:] = [bpe.bytes_of.get(i, b"") for i in range(top)]
+        # one memo for units and the pretokens of longer ones
+        self.units = self.pieces = Generations(self.spell, most)
+
+    def spell(self, unit: str) -> str:
+        if not WORD.fullmatch(unit):
+            found = self.bpe.pretokens(unit)
+            if len(found) > 1:
+                return "".join(map(self.units.__getitem__, found))
+        return "".join(map(self.name, self.bpe.merge(unit.encode())))
+
+    def encode(self, text: str) -> str:
+        """``text`` has no special strings."""
+        cut = PLAIN.findall if not OTHER.search(text) else self.bpe.units
+        return "".join(map(self.units.__getitem__, cut(text)))
 
     def decode(self, ids: str) -> bytes:
         """The vocabulary strings of ",id,id...", one after another."""
-        return b"".join(map(self.bpe.bytes_of.__getitem__, map(int, ids[1:].split(",")))) if ids else b""
+        return b"".join(self.strings[np.fromstring(ids[1:], np.int64, sep=",")].tolist()) if ids else b""
 
 
 @lru_cache(maxsize=4)
@@ -212,7 +257,7 @@ def round_trip(text: str | None, path: str) -> tuple[str, bytes]:
         if k % 2:
             found.append(f",{c.bpe.special[part]}")
         else:
-            found += map(c.units.__getitem__, c.bpe.units(part))
+            found.append(c.encode(part))
     ids = "".join(found)
     return ids, c.decode(ids)
 

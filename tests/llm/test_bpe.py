@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -51,6 +52,53 @@ def test_long_entries_are_not_held():
     assert not c.units and not c.pieces
 
 
+def test_work_of_new_words():
+    r = random.Random(5)
+    words = ["".join(r.choice(["er", "th", "in", "keit", "ó", "tion", "an"]) for _ in range(r.randrange(2, 6))) for _ in range(3000)]
+    bpe.coder.cache_clear()
+    bpe.round_trip("warm", PATH)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        bpe.round_trip(" ".join(words), PATH)
+    finally:
+        sys.setprofile(None)
+    distinct = len(set(words))
+    assert distinct > 1500 and calls < 50 * distinct
+    bpe.coder.cache_clear()
+    bpe.round_trip("été house house, house. house's", PATH)
+    assert set(bpe.coder(PATH).units) == {"été", " house", ",", ".", "'s"}  # nothing is held once for each mark after it
+
+
+def test_plain_characters_are_cut_like_the_library(library):
+    b, r = bpe.load(PATH), random.Random(3)
+    every = [chr(i) for i in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]]
+    assert not bpe.OTHER.search("".join(every)) and all(bpe.OTHER.search(chr(i)) for i in (0x250, 0x200F, 0x2028, 0x202F, 0x205F, 0x3000, 0x1F642))
+    for x in every:
+        for t in (x, f"a{x}b", f" {x}1", f"1{x}{x} ", f"!{x}a", f"\t{x}\n a", f"'{x}s", f"  {x}'t"):
+            cut = bpe.PLAIN.findall(t)
+            assert "".join(cut) == t and cut == b.pretoken.findall(t)
+            assert cut == [t[i:j] for _, (i, j) in library.pre_tokenizer.pre_tokenize_str(t)]
+            assert not bpe.WORD.fullmatch(t) or cut == [t]
+    for _ in range(300):
+        t = "".join(r.choice(every) for _ in range(60))
+        assert b.pretokens(t) == b.pretoken.findall(t)
+        assert bpe.round_trip(t, PATH)[0][1:] == ",".join(map(str, library.encode(t, add_special_tokens=False).ids))
+
+
+def test_pretokens_as_long_as_places_of_the_queue(library):
+    b, r = bpe.load(PATH), random.Random(4)
+    for n in (len(bpe.PLACES) - 1, len(bpe.PLACES), len(bpe.PLACES) + 1, 3 * len(bpe.PLACES)):
+        for letters in ("a", "etaoin", "abcdefghijklmnopqrstuvwxyzé"):
+            t = "".join(r.choice(letters) for _ in range(n - (letters == "a")))
+            assert b.merge(t.encode()) == library.encode(t, add_special_tokens=False).ids
+
+
 def test_scan_is_associative(texts):
     counts = token_counts.compiled(PATH)
     text = "".join(t.replace(" ", "") for t in texts[11:20]).replace("<|endoftext|>", "") + "qxz" * 100 + " tail"
